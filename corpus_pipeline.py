@@ -1,8 +1,50 @@
-"""Corpus pipeline: stages over documents, each written and read again."""
+"""Corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input."""
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import common, decontaminate, exact_dedup, ngram_join, pieces, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on labels of the documents it is given, doesn't reject."""
+    bad = toxicity.rejected(docs, common.table(spark, sf_dir, "labels")).withColumnRenamed("doc_id", "_bad").distinct()
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad._bad), "left_anti")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of texts that are equal without white space."""
+    return exact_dedup.keep_first(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group linked by Jaccard of at least 0.8 on five-word shingles."""
+    return ngram_join.keep_one(docs, k=5, num=80, den=100)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, round_trip of each document."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("sentencepiece", encode),
+]
+#: A trained classifier and a tokenizer aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -69,59 +69,62 @@ class Model:
         inside = any(SPACE in self.text[i].lstrip(SPACE) for i in self.normal)
         alone = "".join(c for c in "\n\t\r" if c not in inner)
         cut = f"[{re.escape(alone)}]|" if alone else ""
+        self.apart = not inside
         self.chunks = re.compile(r"(?s).+" if inside else f"{cut}{SPACE}+[^{SPACE}{re.escape(alone)}]*|[^{SPACE}{re.escape(alone)}]+")
         special = {i for i, k in enumerate(types) if k == 3}
         self.out = [b"" if i in special else b" \xe2\x81\x87 " if i == self.unk else bytes([int(p[3:5], 16)]) if types[i] == 6 else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)]
 
     # -- suffix array and edges
 
-    def suffixes(self, codes: np.ndarray) -> np.ndarray:
-        """Positions ordered by their next `longest` characters, by prefix doubling from packed characters."""
+    def suffixes(self, codes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """Positions ordered by their next `longest` characters, by prefix doubling from packed characters, and the (depth, sorted keys) of each doubling."""
         n = len(codes)
         bits = max(1, int(self.letters).bit_length())
         depth = max(1, 62 // bits)
         key = np.zeros(n, np.int64)
         for k in range(depth):
             key <<= bits
-            key[: n - k] |= codes[k:] if k < n else 0
+            key[: max(0, n - k)] |= codes[k:]
+        levels = []
         while True:
             order = np.argsort(key)
             ranks = key[order]
-            new = np.concatenate([[False], ranks[1:] != ranks[:-1]])
-            if depth >= self.longest or new.sum() + 1 == n:
-                return order
+            levels.append((depth, ranks))
+            if depth >= self.longest:
+                return order, levels
+            first = np.where(np.concatenate([[True], ranks[1:] != ranks[:-1]]), np.arange(n), 0)
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) + 1
+            rank[order] = np.maximum.accumulate(first)
             key = rank << 31
-            key[: max(0, n - depth)] |= rank[depth:]
+            key[: max(0, n - depth)] |= rank[depth:] + 1
             depth *= 2
 
-    def ranges(self, codes: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each piece, the range of order whose suffixes begin with it: a binary search in step for all pieces."""
-        n = len(codes)
-        padded = np.concatenate([codes, np.zeros(self.longest, np.int64)])
-        reach = np.arange(self.longest)
-        mask = reach[None, :] < self.size[:, None]
-
-        def bound(upper: bool) -> np.ndarray:
-            lo, hi = np.zeros(len(self.size), np.int64), np.full(len(self.size), n)
-            while (go := np.flatnonzero(lo < hi)).size:
-                mid = (lo[go] + hi[go]) // 2
-                diff = np.where(mask[go], padded[order[mid][:, None] + reach] - self.grid[go], 0)
-                at = (diff != 0).argmax(1)
-                sign = diff[np.arange(len(go)), at]
-                left = sign <= 0 if upper else sign < 0
-                lo[go[left]] = mid[left] + 1
-                hi[go[~left]] = mid[~left]
-            return lo
-
-        return bound(False), bound(True)
+    def ranges(self, levels: list[tuple[int, np.ndarray]], grid: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each piece (row of grid), the range of the suffix array that begins with it: binary searches for its first half and, within that range, for the other."""
+        depth, ranks = levels[-1]
+        if len(levels) == 1:
+            bits = max(1, int(self.letters).bit_length())
+            key = np.zeros(len(size), np.int64)
+            for k in range(depth):
+                key <<= bits
+                if k < grid.shape[1]:
+                    key |= np.where(k < size, grid[:, k], 0)
+            return np.searchsorted(ranks, key), np.searchsorted(ranks, key + (np.int64(1) << (bits * (depth - np.minimum(size, depth)))))
+        half = levels[-2][0]
+        lo, hi = self.ranges(levels[:-1], grid[:, :half], np.minimum(size, half))
+        deep = np.flatnonzero((size > half) & (lo < hi))
+        from_, to = self.ranges(levels[:-1], grid[deep, half:], size[deep] - half)
+        head = lo[deep] << 31
+        none = from_ >= to
+        lo[deep], hi[deep] = np.searchsorted(ranks, head + from_ + 1), np.searchsorted(ranks, head + to + 1)
+        hi[deep[none]] = lo[deep[none]]
+        return lo, hi
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position * (longest + 1) + length, piece) of every occurrence of every piece, by position."""
-        order = self.suffixes(codes)
-        lo, hi = self.ranges(codes, order)
-        n = hi - lo
+        order, levels = self.suffixes(codes)
+        lo, hi = self.ranges(levels, self.grid, self.size)
+        n = np.maximum(hi - lo, 0)
         which = np.repeat(np.arange(len(n)), n)
         at = order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
         key = at * (self.longest + 1) + self.size[which]
@@ -130,33 +133,43 @@ class Model:
 
     # -- relaxation
 
-    def encode_chunks(self, chunks: list[str]) -> list[np.ndarray]:
-        """The ids of each chunk."""
-        joined = "\0".join(chunks) + "\0"
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks in a row, and how many each chunk has."""
+        points = np.frombuffer(("\0".join(chunks) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = self.code[points]
-        starts = np.cumsum([0, *(len(c) + 1 for c in chunks)])[:-1]
-        codes[starts[1:] - 1] = 0
-        codes[-1] = 0
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        starts = np.cumsum(size + 1) - size - 1
+        codes[starts + size] = 0
         key, piece = self.edges(codes)
-        wide = self.longest + 1
+        wide = self.longest + 2  # the last place of each position stands for what is longer than any piece
         lattice = np.full((len(codes) + 1) * wide, -1, np.int32)
-        lattice[key] = piece
-        size = np.array([len(c) for c in chunks])
-        out: list = [None] * len(chunks)
+        lattice[key + key // (wide - 1)] = piece
+        rank = np.append(self.priority, np.int32(LOW))[lattice]
+        ids, count, rows = [], [], []
+
+        def take(own: np.ndarray, cut: np.ndarray) -> None:
+            got = lattice[(starts[own][:, None] + cut[:, :-1]) * wide + np.minimum(cut[:, 1:] - cut[:, :-1], wide - 1)]
+            good = got.min(1) >= 0
+            ids.append(got[good].ravel()), count.append(np.full(good.sum(), got.shape[1])), rows.append(own[good])
+            for i in np.flatnonzero(~good):
+                spelt = self._spell(chunks[own[i]], cut[i], got[i])
+                ids.append(spelt), count.append(np.array([len(spelt)])), rows.append(own[i : i + 1])
+
         for n in np.unique(size):
-            rows = np.flatnonzero(size == n)
+            own = np.flatnonzero(size == n)
             if not self.bpe:
-                ends = self._best_paths(starts[rows], int(n), lattice, wide)
+                cuts = self._best_paths(starts[own], int(n), lattice, wide)
             elif n <= SIDE_BY_SIDE:
-                ends = self._merge(starts[rows], int(n), lattice, wide)
+                self._merge(own, starts[own], int(n), rank, wide, take)
+                continue
             else:
-                ends = [self._merge_one(int(s), int(n), lattice, wide) for s in starts[rows]]
-            for r, cut in zip(rows, ends):
-                s = starts[r]
-                ids = lattice[(s + cut[:-1]) * wide + np.minimum(np.diff(cut), wide - 1)]
-                out[r] = ids if (ids >= 0).all() else self._spell(chunks[r], cut, ids)
-        return out
+                cuts = [self._merge_one(int(x), int(n), lattice, wide) for x in starts[own]]
+            for i, cut in zip(own, cuts):
+                take(np.array([i]), cut[None, :])
+        ids, count, rows = np.concatenate(ids), np.concatenate(count), np.concatenate(rows)
+        by = np.argsort(rows)
+        from_, held = (np.cumsum(count) - count)[by], count[by]
+        return ids[np.repeat(from_ - np.cumsum(held) + held, held) + np.arange(held.sum())], held
 
     def _spell(self, chunk: str, cut: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Characters without a piece become bytes, or unknown where the model has no bytes."""
@@ -170,33 +183,21 @@ class Model:
                 got.append(self.unk)
         return np.array(got, np.int32)
 
-    def _merge(self, starts: np.ndarray, n: int, lattice: np.ndarray, wide: int) -> list[np.ndarray]:
-        """Chunks of one length side by side: in each round every chunk merges its best pair."""
-        rows = len(starts)
-        cut = np.tile(np.arange(n + 1), (rows, 1))
-        count = np.full(rows, n)
-        done: list = [None] * rows
-        live = np.arange(rows)
-        priority = np.append(self.priority, LOW)
+    def _merge(self, live: np.ndarray, at: np.ndarray, n: int, rank: np.ndarray, wide: int, take) -> None:
+        """Chunks of one length side by side: in each round every chunk merges its best pair, so that all have as many symbols; take() gets those that are done."""
+        cut = np.tile(np.arange(n + 1, dtype=np.int32), (len(live), 1))
+        at = at.astype(np.int32)[:, None]
         while len(live):
             if cut.shape[1] < 3:
-                best, k = np.full(len(live), LOW), np.zeros(len(live), np.int64)
-            else:
-                length = cut[:, 2:] - cut[:, :-2]
-                found = lattice[(starts[live][:, None] + cut[:, :-2]) * wide + np.minimum(length, wide - 1)]
-                value = np.where((length < wide) & (np.arange(length.shape[1]) < (count - 1)[:, None]), priority[found], LOW)
-                k = value.argmax(1)
-                best = value[np.arange(len(live)), k]
-            over = best == LOW
-            for i in np.flatnonzero(over):
-                done[live[i]] = cut[i, : count[i] + 1].copy()
-            go = ~over
-            live, cut, count, k = live[go], cut[go], count[go], k[go]
-            if len(live):
-                columns = np.arange(cut.shape[1] - 1)
-                cut = np.take_along_axis(cut, columns + (columns[None, :] > k[:, None]), 1)
-                count = count - 1
-        return done
+                take(live, cut)
+                return
+            value = rank[(at + cut[:, :-2]) * np.int32(wide) + np.minimum(cut[:, 2:] - cut[:, :-2], wide - 1)]
+            k = value.argmax(1)
+            go = value[np.arange(len(live)), k] > LOW
+            if not go.all():
+                take(live[~go], cut[~go])
+                live, cut, at, k = live[go], cut[go], at[go], k[go]
+            cut = cut[np.arange(cut.shape[1]) != k[:, None] + 1].reshape(len(live), cut.shape[1] - 1)
 
     def _merge_one(self, start: int, n: int, lattice: np.ndarray, wide: int) -> np.ndarray:
         """One chunk over a heap of (score, position): n log n."""
@@ -205,7 +206,7 @@ class Model:
 
         def offer(a: int) -> None:
             b = end[a]
-            if b < n and (length := end[b] - a) < wide and (i := lattice[(start + a) * wide + length]) >= 0:
+            if b < n and (length := end[b] - a) < wide - 1 and (i := lattice[(start + a) * wide + length]) >= 0:
                 heapq.heappush(heap, (-int(self.priority[i]), a, b, end[b]))
 
         for a in range(n):
@@ -231,7 +232,7 @@ class Model:
         back = np.zeros((n + 1, rows), np.int64)
         best[0] = 0
         for j in range(1, n + 1):
-            for length in range(1, min(j, wide - 1) + 1):
+            for length in range(1, min(j, wide - 2) + 1):
                 i = lattice[(starts + j - length) * wide + length]
                 score = best[j - length] + np.where(i >= 0, self.score[i], low if length == 1 else -np.inf)
                 better = score > best[j]
@@ -260,51 +261,77 @@ class Model:
 
 
 class Encoder:
-    """Encodes batches; remembers the chunks of earlier ones up to REMEMBERED."""
+    """Encodes batches; remembers the ids of words. Beyond REMEMBERED, words met only once or twice are forgotten, which costs time and changes no result."""
 
     def __init__(self, data: bytes):
         self.model = Model(data)
-        self._forget()
+        self.row: dict[str | bytes, int] = {}
+        self.flat, self.from_, self.size, self.hits = (np.zeros(0, k) for k in (np.int32, np.int64, np.int64, np.int64))
 
-    def _forget(self) -> None:
-        self.row: dict[str, int] = {}
-        self.ids, self.start = [np.zeros(0, np.int32)], [0]
-        self.flat, self.from_, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        block, held, got = [], 0, []
-        for w in words:
-            block.append(w)
+    def _units(self, text: str | None) -> list[str | bytes]:
+        """What is looked up: words after single spaces as str; other texts' chunks as bytes."""
+        if not text:
+            return []
+        if not self.model.prefix or not self.model.apart or "  " in text or text[0] == " " or text[-1] == " " or SPACE in text:
+            return [c.encode("utf-8", "surrogatepass") for c in self.model.split(text)]
+        return text.split(" ")
+
+    def _trim(self) -> None:
+        keep = self.hits > 2
+        if keep.sum() > REMEMBERED // 2:
+            keep[:] = False
+        old = np.flatnonzero(keep)
+        held = self.size[old]
+        self.flat = self.flat[np.repeat(self.from_[old] - np.cumsum(held) + held, held) + np.arange(held.sum())]
+        self.from_, self.size, self.hits = np.cumsum(held) - held, held, np.zeros(len(old), np.int64)
+        place = np.cumsum(keep) - 1
+        self.row = {w: int(place[r]) for w, r in self.row.items() if keep[r]}
+
+    def _learn(self, words: list[str | bytes]) -> None:
+        chunks = [SPACE + w if isinstance(w, str) else w.decode("utf-8", "surrogatepass") for w in words]
+        got, a, held = [], 0, 0
+        for b, w in enumerate(chunks, 1):
             held += len(w) + 1
-            if held >= INDEX_CHARS:
-                got += self.model.encode_chunks(block)
-                block, held = [], 0
-        if block:
-            got += self.model.encode_chunks(block)
-        size = np.array([len(x) for x in got], np.int64)
+            if held >= INDEX_CHARS or b == len(chunks):
+                got.append(self.model.encode_chunks(chunks[a:b]))
+                a, held = b, 0
+        size = np.concatenate([n for _, n in got])
         self.from_ = np.concatenate([self.from_, len(self.flat) + np.cumsum(size) - size])
+        self.flat = np.concatenate([self.flat, *(x for x, _ in got)])
+        self.row.update(zip(words, range(len(self.size), len(self.size) + len(words))))
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, *got])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null counts as empty, which has none."""
-        chunks = [self.model.split(t or "") for t in texts]
         if len(self.row) > REMEMBERED:
-            self._forget()
-        row, new = self.row, []
-        for own in chunks:
-            for w in own:
-                if w not in row:
-                    row[w] = len(row)
-                    new.append(w)
+            self._trim()
+        units, held = [], []
+        for t in texts:
+            own = self._units(t)
+            units += own
+            held.append(len(own))
+        new = set(units) - self.row.keys()
         if new:
-            self._learn(new)
-        out = []
-        for own in chunks:
-            r = np.fromiter(map(row.__getitem__, own), np.int64, len(own))
-            n = self.size[r]
-            out.append(self.flat[np.repeat(self.from_[r] - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(r) else np.zeros(0, np.int32))
-        return out
+            self._learn(list(new))
+        r = np.fromiter(map(self.row.__getitem__, units), np.int64, len(units))
+        self.hits += np.bincount(r, minlength=len(self.hits))
+        n = self.size[r]
+        ends = np.cumsum(n)
+        flat = self.flat[np.repeat(self.from_[r] - ends + n, n) + np.arange(n.sum())]
+        cut = np.concatenate([[0], ends])[np.cumsum([0, *held])]
+        return [flat[a:b] for a, b in zip(cut[:-1], cut[1:])]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(data: bytes) -> Encoder:
+    """One encoder a worker process, for all its tasks."""
+    key = hashlib.sha256(data).hexdigest()
+    if key not in _encoders:
+        _encoders[key] = Encoder(data)
+    return _encoders[key]
 
 
 def _batches(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
@@ -320,7 +347,7 @@ def _batches(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[
 
 def _run(data, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(data.value)
+        encoder = _encoder(data.value)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in _batches(texts):
@@ -355,7 +382,7 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
         data = rows.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(data.value)
+        own = _encoder(data.value).model
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([None if x is None else own.decode(x) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 

@@ -1,10 +1,13 @@
 """The queries of this folder and the SQL of those that SQL can express."""
 
-from tessera.llm import exact_dedup, ngram_join
+from tessera.llm import decontaminate, exact_dedup, ngram_join, pieces, toxicity
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_ngram_join": ngram_join.op7_ngram_join,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 ORACLE_SQL = {
     "op5_exact_dedup": exact_dedup.SQL,
