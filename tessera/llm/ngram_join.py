@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import components, materialize, mix, partitions, salted_left_join, shingle_sets, table
 
-#: Rows and shingles of a chunk.
+#: Rows (65 535 at most: they are numbered in 16 bits) and shingles of a chunk.
 CHUNK_DOCS, CHUNK_SHINGLES = 2048, 600_000
 #: A shingle in more of a chunk's documents than this travels as a count; its documents stay with the chunk.
 LOCAL_HOT = 16
@@ -45,6 +45,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(cols, _TYPES)], names=_NAMES)
 
 
+def _planes(tokens: np.ndarray) -> bytes:
+    """Sorted tokens byte plane by byte plane: the leading planes are runs that the shuffle's compression removes."""
+    return tokens.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _tokens(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
 def _least_overlap(n, num: int, den: int):
     """The fewest shared elements of a set of n with any set at Jaccard >= num/den."""
     return -(-n * num // den)
@@ -71,7 +80,7 @@ def _deal(k: int, count: int):
         use = lead[who]
         who, tok = who[use], tok[use]
         order = np.argsort(tok, kind="stable")
-        who, tok = who[order].astype(np.uint32), tok[order]
+        who, tok = who[order].astype(np.uint16), tok[order]
         starts = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]])) if len(tok) else np.zeros(0, np.int64)
         held = np.diff(np.append(starts, len(tok)))
         uniq = tok[starts]
@@ -85,7 +94,7 @@ def _deal(k: int, count: int):
             a, b = cuts[r], cuts[r + 1]
             if a < b:
                 keep = ~hot[ends[a] : ends[b]]
-                rows.append((1, r, number, None, uniq[a:b].tobytes(), held[a:b].astype(np.uint32).tobytes(), who[ends[a] : ends[b]][keep].tobytes(), None))
+                rows.append((1, r, number, None, _planes(uniq[a:b]), held[a:b].astype(np.uint16).tobytes(), who[ends[a] : ends[b]][keep].tobytes(), None))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +131,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pass_on.append((0, target, chunk, ids, a, b, c, d))
             else:
                 chunks.append(chunk)
-                tok.append(np.frombuffer(a, np.uint64)), held.append(np.frombuffer(b, np.uint32)), cold.append(np.frombuffer(c, np.uint32))
+                tok.append(_tokens(a)), held.append(np.frombuffer(b, np.uint16)), cold.append(np.frombuffer(c, np.uint16))
         if pass_on:
             yield _batch(pass_on)
     if not tok:
@@ -146,7 +155,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hot = held[i] > LOCAL_HOT
             reach = np.where(hot, 0, held[i])
             docs = cold[i][np.repeat(use, reach)]
-            out.append((1, chunk, chunk, None, tok[i][use].tobytes(), np.where(hot, 0, held[i])[use].astype(np.uint32).tobytes(), docs.tobytes(), np.minimum(own[use], 2**32 - 1).astype(np.uint32).tobytes()))
+            out.append((1, chunk, chunk, None, _planes(tok[i][use]), np.where(hot, 0, held[i])[use].astype(np.uint16).tobytes(), docs.tobytes(), np.minimum(own[use], 2**32 - 1).astype(np.uint32).tobytes()))
         tok[i] = cold[i] = None
         if len(out) >= 64:
             yield _batch(out)
@@ -163,19 +172,19 @@ def _order(num: int, den: int):
         ids, n = np.frombuffer(head.ids, np.int64), np.frombuffer(head.a, np.int64)
         flags = np.unpackbits(np.frombuffer(head.c, np.uint8))[: 2 * len(ids)].reshape(2, -1).astype(bool)
         sigs = [head.b[24 * i : 24 * i + 24] for i in range(len(ids))]
-        m = len(head.d) // 12
-        hot_tok, hot_doc = np.frombuffer(head.d[: 8 * m], np.uint64), np.frombuffer(head.d[8 * m :], np.uint32)
+        m = len(head.d) // 10
+        hot_tok, hot_doc = np.frombuffer(head.d[: 8 * m], np.uint64), np.frombuffer(head.d[8 * m :], np.uint16)
         toks, docs, dfs = [], [], []
         for r in pdf[pdf.kind == 1].itertuples():
-            t, held, df = np.frombuffer(r.a, np.uint64), np.frombuffer(r.b, np.uint32), np.frombuffer(r.d, np.uint32)
-            toks.append(np.repeat(t, held)), dfs.append(np.repeat(df, held)), docs.append(np.frombuffer(r.c, np.uint32))
+            t, held, df = _tokens(r.a), np.frombuffer(r.b, np.uint16), np.frombuffer(r.d, np.uint32)
+            toks.append(np.repeat(t, held)), dfs.append(np.repeat(df, held)), docs.append(np.frombuffer(r.c, np.uint16))
             far = held == 0
             if far.any() and m:
                 lo, hi = np.searchsorted(hot_tok, t[far]), np.searchsorted(hot_tok, t[far], "right")
                 idx = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi)]) if len(lo) else np.zeros(0, np.int64)
                 toks.append(hot_tok[idx]), docs.append(hot_doc[idx]), dfs.append(np.repeat(df[far], hi - lo))
         tok = np.concatenate(toks) if toks else np.zeros(0, np.uint64)
-        doc = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
+        doc = np.concatenate(docs) if docs else np.zeros(0, np.uint16)
         df = np.concatenate(dfs) if dfs else np.zeros(0, np.uint32)
         shared = np.bincount(doc, minlength=len(ids))
         able = (n > 0) & flags[0] & (shared >= _least_overlap(n, num, den))
