@@ -20,7 +20,7 @@ from tessera.llm.common import SLICE_BYTES, mix, table
 
 BUCKETS, DIM, SEGMENT, SIZES = 1 << 16, 8, 8, (3, 4, 5)
 #: The sample that the classifier is fitted on: labelled rows of either kind, in the order of a hash of their ids, and characters in all.
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 2500, 6000, 40_000_000
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS = 2000, 4000, 25_000_000
 #: Passes over the sample, at least this many gradient steps, and the share of n-grams that a step leaves out, so that a word's parts each carry its sign.
 EPOCHS, STEPS, DROP, BATCH, RATE = 16, 500, 0.4, 256, 0.5
 
@@ -107,20 +107,23 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> dict:
     rng = np.random.default_rng(seed)
     # distinct words with their n-grams; texts as word numbers
     known: dict[str, int] = {}
-    words, doc = [], []
-    for i, text in enumerate(texts):
-        codes, s, e = _words(text)
+    words, count = [], []
+    for text in texts:
+        _, s, e = _words(text)
         low = f"\n{text}\n\n\n\n\n".lower()
-        own = [known.setdefault(low[a:b], len(known)) for a, b in zip(s.tolist(), e.tolist())]
-        words += own
-        doc += [i] * len(own)
-    words, doc = np.array(words, np.int64), np.array(doc, np.int64)
+        words.append(np.array([known.setdefault(low[a:b], len(known)) for a, b in zip(s.tolist(), e.tolist())], np.int32))
+        count.append(len(s))
+    words, doc = np.concatenate(words), np.repeat(np.arange(len(texts), dtype=np.int32), count)
     codes, s, e = _words("\n".join(known))
-    grams = {n: _grams(codes, n) for n in SIZES}
-    place = np.concatenate([np.repeat(np.arange(len(s)), np.maximum(e - s - n + 3, 0)) for n in SIZES])
-    bucket = np.concatenate([grams[n][np.repeat(s - 1, h := np.maximum(e - s - n + 3, 0)) + np.arange(h.sum()) - np.repeat(np.cumsum(h) - h, h)] for n in SIZES])
-    order = np.argsort(place, kind="stable")
+    place, bucket = [], []
+    for n in SIZES:
+        h = np.maximum(e - s - n + 3, 0)
+        place.append(np.repeat(np.arange(len(s), dtype=np.int32), h))
+        bucket.append(_grams(codes, n)[np.repeat(s - 1 - np.cumsum(h) + h, h) + np.arange(h.sum())].astype(np.int32))
+    place, bucket = np.concatenate(place), np.concatenate(bucket)
+    order = np.argsort(place, kind="stable").astype(np.int32)
     bucket, place = bucket[order], place[order]
+    del order, codes
     held = np.bincount(place, minlength=len(known))
     start = np.cumsum(held) - held
     seg = _segments(doc)
