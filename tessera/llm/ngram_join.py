@@ -227,8 +227,8 @@ def choose_matches(n: int, own: int, dfs: np.ndarray, num: int, den: int) -> int
     cum = np.cumsum(dfs.astype(np.float64))
     best, least = 1, np.inf
     for l in range(1, MAX_MATCHES + 1):  # noqa: E741
-        p = min(len(dfs), max(0, base + l))
-        if p < l:
+        p = base + l
+        if p > len(dfs):  # more matches than any partner need share
             break
         cost = cum[p - 1] + VERIFY_COST * cum[p - 1] / l**2
         if cost < least:
