@@ -22,6 +22,7 @@ STEP = 1 << 16
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+ONCE = (b"warc-type", b"warc-record-id", b"content-length")
 VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 
 
@@ -97,9 +98,14 @@ def parse(data: bytes, pos: int = 0) -> tuple[dict[str, str], bytes, int]:
     fields: dict[str, str] = {}
     for line in data[m.end() : end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
-        if not colon or not re.fullmatch(rb"[A-Za-z0-9-]+", name):
+        if not colon or not re.fullmatch(rb"[A-Za-z0-9-]+", name) or re.search(rb"[\x00-\x08\x0a-\x1f]|WARC/1\.[01]$", value):
             raise Damage("bad header line")
-        fields[name.decode().lower()] = value.strip().decode("utf-8", "surrogatepass")
+        if name.decode().lower() in fields and name.lower() in ONCE:
+            raise Damage("a field occurs twice")
+        try:
+            fields[name.decode().lower()] = value.strip().decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            raise Damage("header isn't UTF-8") from None
     if not fields.get("content-length", "").isdigit():
         raise Damage("no length")
     a, b = end + 4, end + 4 + int(fields["content-length"])
