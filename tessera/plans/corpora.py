@@ -145,7 +145,7 @@ def s_entities(e: str) -> str:
 
 def s_first(column: str) -> str:
     """The list column without repeats, first ones kept."""
-    return f"list_filter({column}, lambda x, i: list_position({column}, x) = i)"
+    return f"list_filter({column}, lambda el, i: list_position({column}, el) = i)"
 
 
 def s_stop() -> str:

@@ -8,7 +8,9 @@ from tessera.functions import embed, ids, text
 from tessera.plans import corpora as c
 from tessera.plans.registry import query
 
-T = F.col("t")
+
+def T() -> F.Column:
+    return F.col("t")
 
 
 def joined(col):
@@ -27,27 +29,27 @@ BOTH = f"{c.VALUES}, {c.STATEMENTS}, b AS (SELECT 'l' || n AS id, t FROM l UNION
 def _simple(name: str, spark_value, sql_value: str, column: str = "v"):
     @query(name, f"WITH {BOTH} SELECT id, {sql_value} AS {column} FROM b")
     def run(spark, sf_dir):
-        return _both(spark, sf_dir).select("id", spark_value.alias(column))
+        return _both(spark, sf_dir).select("id", spark_value().alias(column))
 
     return run
 
 
-_simple("normalize", text.normalize(T), "lower(coalesce(t, ''))")
-_simple("latin_words", joined(text.words(T)), f"array_to_string({c.sql_all('lower(t)', '[a-z0-9]+')}, '|')")
-_simple("cjk_runs", joined(F.regexp_extract_all(T, F.lit(text.CJK), F.lit(0))), f"array_to_string({c.sql_all('t', c.S_CJK)}, '|')")
-_simple("cjk_bigrams", joined(text.cjk_ngrams(T, 2)), f"array_to_string({c.s_cjk('t', 2)}, '|')")
-_simple("cjk_trigrams", joined(text.cjk_ngrams(T, 3)), f"array_to_string({c.s_cjk('t', 3)}, '|')")
-_simple("extract_numbers", joined(text.numbers(T)), f"array_to_string({c.s_numbers('t')}, '|')")
-_simple("extract_dates", joined(text.dates(T)), f"array_to_string({c.s_dates('t')}, '|')")
+_simple("normalize", lambda: text.normalize(T()), "lower(coalesce(t, ''))")
+_simple("latin_words", lambda: joined(text.words(T())), f"array_to_string({c.sql_all('lower(t)', '[a-z0-9]+')}, '|')")
+_simple("cjk_runs", lambda: joined(F.regexp_extract_all(T(), F.lit(text.CJK), F.lit(0))), f"array_to_string({c.sql_all('t', c.S_CJK)}, '|')")
+_simple("cjk_bigrams", lambda: joined(text.cjk_ngrams(T(), 2)), f"array_to_string({c.s_cjk('t', 2)}, '|')")
+_simple("cjk_trigrams", lambda: joined(text.cjk_ngrams(T(), 3)), f"array_to_string({c.s_cjk('t', 3)}, '|')")
+_simple("extract_numbers", lambda: joined(text.numbers(T())), f"array_to_string({c.s_numbers('t')}, '|')")
+_simple("extract_dates", lambda: joined(text.dates(T())), f"array_to_string({c.s_dates('t')}, '|')")
 NO_DATES = f"regexp_replace(t, '{c.S_DATE}', ' ', 'g')"
-_simple("extract_non_date_numbers", joined(text.non_date_numbers(T)), f"array_to_string({c.s_numbers(NO_DATES)}, '|')")
-_simple("extract_phrases", joined(text.phrases(T)), f"array_to_string({c.sql_all('t', c.S_PHRASE, 1)}, '|')")
-_simple("tokenize", joined(text.tokenize(T)), f"array_to_string({c.s_tokens('t')}, '|')")
+_simple("extract_non_date_numbers", lambda: joined(text.non_date_numbers(T())), f"array_to_string({c.s_numbers(NO_DATES)}, '|')")
+_simple("extract_phrases", lambda: joined(text.phrases(T())), f"array_to_string({c.sql_all('t', c.S_PHRASE, 1)}, '|')")
+_simple("tokenize", lambda: joined(text.tokenize(T())), f"array_to_string({c.s_tokens('t')}, '|')")
 
 
 @query("index_text", f"WITH {BOTH}, k AS (SELECT id, {c.s_tokens('t')} AS x FROM b) SELECT id, array_to_string({c.s_first('x')}, ' ') AS v FROM k")
 def index_text(spark, sf_dir):
-    return _both(spark, sf_dir).select("id", text.index_text(T).alias("v"))
+    return _both(spark, sf_dir).select("id", text.index_text(T()).alias("v"))
 
 
 @query(
@@ -57,7 +59,7 @@ u AS (SELECT id, unnest(x) AS x FROM k), r AS (SELECT id, x, row_number() OVER (
 SELECT b.id, coalesce(string_agg(x, '|' ORDER BY n) FILTER (WHERE n <= 12), '') AS v FROM b LEFT JOIN r ON r.id = b.id GROUP BY b.id""",
 )
 def query_tokens(spark, sf_dir):
-    return _both(spark, sf_dir).select("id", joined(text.query_tokens(T, 12)).alias("v"))
+    return _both(spark, sf_dir).select("id", joined(text.query_tokens(T(), 12)).alias("v"))
 
 
 ENT = f"e AS (SELECT id, {c.s_entities('t')} AS x FROM b), f AS (SELECT id, x, list_transform(x, lambda y: lower(y)) AS y FROM e), g AS (SELECT id, list_filter(x, lambda a, i: list_position(y, lower(a)) = i) AS x FROM f)"
@@ -65,12 +67,12 @@ ENT = f"e AS (SELECT id, {c.s_entities('t')} AS x FROM b), f AS (SELECT id, x, l
 
 @query("extract_entities", f"WITH {BOTH}, {ENT} SELECT id, array_to_string(x, '|') AS v FROM g")
 def extract_entities(spark, sf_dir):
-    return _both(spark, sf_dir).select("id", joined(text.entities(T)).alias("v"))
+    return _both(spark, sf_dir).select("id", joined(text.entities(T())).alias("v"))
 
 
 @query("extract_protection_entities", f"WITH {BOTH}, {ENT} SELECT id, array_to_string(list_filter(x, lambda a: NOT list_contains({c.s_stop()}, lower(a))), '|') AS v FROM g")
 def extract_protection_entities(spark, sf_dir):
-    return _both(spark, sf_dir).select("id", joined(text.protection_entities(T)).alias("v"))
+    return _both(spark, sf_dir).select("id", joined(text.protection_entities(T())).alias("v"))
 
 
 PREFERS = r"regexp_matches(t, '(?:我|本人|我们)[^。！？!?]{0,16}(?:喜欢|偏好|首选|最爱|爱用|常用|习惯|更愿意)') OR regexp_matches(t, '(?i)\b(?:i|we)\s+(?:(?:really|usually|generally)\s+)?(?:prefer|like|favor|favour|use|tend\s+to\s+use)\b|\b(?:my|our)\s+(?:favorite|favourite|preferred|go-to)\b')"
@@ -85,14 +87,14 @@ PROFILE = r"regexp_matches(t, '我|本人') OR regexp_matches(t, '(?i)\b(?:i|i''
 )
 def intent_flags(spark, sf_dir):
     return _both(spark, sf_dir).select(
-        "id", text.temporal_intent(T).alias("temporal"), text.update_cue(T).alias("cue"), text.preference_intent(T).alias("preference"), text.personalization_intent(T).alias("personal"),
-        text.numeric_intent(T).alias("numeric_value"), text.date_intent(T).alias("date_value"), text.direct_preference(T).alias("prefers"), text.direct_profile(T).alias("profile"),
+        "id", text.temporal_intent(T()).alias("temporal"), text.update_cue(T()).alias("cue"), text.preference_intent(T()).alias("preference"), text.personalization_intent(T()).alias("personal"),
+        text.numeric_intent(T()).alias("numeric_value"), text.date_intent(T()).alias("date_value"), text.direct_preference(T()).alias("prefers"), text.direct_profile(T()).alias("profile"),
     )
 
 
 @query("signature", f"WITH {BOTH}, k AS (SELECT id, list_distinct({c.s_tokens('t')}) AS x FROM b) SELECT id, array_to_string(list_sort(list_filter(x, lambda a: length(a) >= 2)), '|') AS v FROM k")
 def signature(spark, sf_dir):
-    return _both(spark, sf_dir).select("id", joined(F.array_sort(text.signature(T))).alias("v"))
+    return _both(spark, sf_dir).select("id", joined(F.array_sort(text.signature(T()))).alias("v"))
 
 
 #: The baseline's tokens: within a span without separators, CJK pairs run across Latin letters.
@@ -106,7 +108,7 @@ p2 AS (SELECT id, list_concat(flatten(list_transform(cjk, lambda s: list_transfo
 
 @query("baseline_tokens", f"WITH {BOTH}, {P0} SELECT id, array_to_string(x, '|') AS v FROM p2")
 def baseline_tokens(spark, sf_dir):
-    return _both(spark, sf_dir).select("id", joined(text.baseline_tokens(T)).alias("v"))
+    return _both(spark, sf_dir).select("id", joined(text.baseline_tokens(T())).alias("v"))
 
 
 @query(
