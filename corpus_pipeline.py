@@ -29,6 +29,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip of each document."""
+    common.small_batches(spark)
     return pieces.encode(docs)
 
 

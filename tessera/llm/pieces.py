@@ -22,7 +22,7 @@ from tessera.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters indexed at once, and chunks whose pieces a task remembers before it starts afresh.
-INDEX_CHARS, REMEMBERED = 400_000, 400_000
+INDEX_CHARS, REMEMBERED = 250_000, 200_000
 #: Chunks of more characters are merged one by one over a heap instead of side by side.
 SIDE_BY_SIDE = 48
 SPACE = "▁"
