@@ -14,8 +14,9 @@ def indexed(docs: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, user_id, doc_type, dl, term, tf; one shuffle, pre-aggregated."""
-    rows = indexed(docs).select("doc_id", "user_id", "doc_type", "dl", F.explode("terms").alias("term"))
+    """doc_id, user_id, doc_type, dl, term, tf; one shuffle, pre-aggregated. docs may be indexed already."""
+    docs = docs if "terms" in docs.columns else indexed(docs)
+    rows = docs.select("doc_id", "user_id", "doc_type", "dl", F.explode("terms").alias("term"))
     return rows.groupBy("doc_id", "user_id", "doc_type", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -26,7 +27,7 @@ def term_stats(posts: DataFrame, scope: str = "global") -> DataFrame:
 
 def corpus_stats(docs: DataFrame, scope: str = "global") -> DataFrame:
     """n documents and their average length; one row, or one a user."""
-    rows = indexed(docs).select("user_id", "dl")
+    rows = (docs if "terms" in docs.columns else indexed(docs)).select("user_id", "dl")
     return rows.groupBy(*(["user_id"] if scope == "user" else [])).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
 
 

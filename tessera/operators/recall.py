@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.config import Config
 from tessera.functions import ids, text
 from tessera.operators import index
+from tessera.operators.cut import materialize
 
 K1, B = 1.2, 0.75
 EXACT, COVERAGE, PHRASE, DATE, NUMBER, ENTITY = 120.0, 40.0, 60.0, 45.0, 25.0, 12.0
@@ -48,9 +49,10 @@ def lexical(prepared: DataFrame, docs: DataFrame, config: Config, posts: DataFra
 
     Queries meet postings on (user_id, term), so other users' postings are never read; only the statistics are global.
     """
-    posts = index.postings(docs) if posts is None else posts
+    terms = materialize(index.indexed(docs).select("doc_id", "user_id", "doc_type", "dl", "terms"), "terms")
+    posts = materialize(index.postings(terms), "postings") if posts is None else posts
     by_user = ["user_id"] if config.stats_scope == "user" else []
-    size = index.corpus_stats(docs, config.stats_scope)
+    size = index.corpus_stats(terms, config.stats_scope)
     asked = prepared.select("query_id", "user_id", F.explode("tokens").alias("token")).withColumn("parts", text.pieces(F.col("token")))
     single = asked.where("size(parts) = 1").select("query_id", "user_id", F.element_at("parts", 1).alias("term"))
     wanted = single.select("term").distinct()
@@ -58,7 +60,6 @@ def lexical(prepared: DataFrame, docs: DataFrame, config: Config, posts: DataFra
     found = single.join(posts, ["user_id", "term"]).join(stats, [*by_user, "term"]).select("query_id", "user_id", "doc_id", "doc_type", "dl", "tf", "df")
     many = asked.where("size(parts) > 1").select("query_id", "user_id", "token", "parts")
     own = many.select("token", "parts").distinct()
-    terms = index.indexed(docs).select("doc_id", "user_id", "doc_type", "dl", "terms")
     # documents that have a phrase: by its first term, then checked in order
     held = posts.select("doc_id", F.col("term").alias("head")).join(own.withColumn("head", F.element_at("parts", 1)), "head").select("doc_id", "token", "parts").join(terms, "doc_id")
     tf = F.expr("size(filter(sequence(1, greatest(1, size(terms) - size(parts) + 1)), i -> slice(terms, i, size(parts)) = parts))").cast("long")

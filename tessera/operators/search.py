@@ -14,7 +14,8 @@ HYDRATED = ["doc_id", "doc_type", "session_id", "seq", "role", "content", "ts_ms
 
 
 def candidates(prepared: DataFrame, docs: DataFrame, config: Config, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, posts: DataFrame | None = None) -> DataFrame:
-    """The union of the channels, hydrated."""
+    """The union of the channels, hydrated. Documents and prepared queries are written once: all channels and the hydration read them."""
+    docs, prepared = materialize(docs, "documents"), materialize(prepared, "queries")
     lexical = recall.lexical(prepared, docs, config, posts)
     if config.on("exact_scan"):
         messages = docs.where("doc_type = 'message'").withColumnRenamed("doc_id", "id")
@@ -37,9 +38,7 @@ def ranked(prepared: DataFrame, docs: DataFrame, config: Config, **channels) ->
 def search(queries: DataFrame, docs: DataFrame, config: Config | None = None, model_score=None, **channels) -> DataFrame:
     """Evidence rows for queries (query_id, user_id, query[, options, top_k]) over docs (views.documents). model_score: rows -> rows with model_score, for the reranks."""
     config = (config or Config()).validate()
-    docs = materialize(docs, "documents")  # four channels and the hydration read it
-    prepared = materialize(recall.prepare(queries, config), "queries")
-    rows = ranked(prepared, docs, config, **channels)
+    rows = ranked(recall.prepare(queries, config), docs, config, **channels)
     if config.on("dedup"):
         rows = fuse.dedup(materialize(rows, "ranked"))
     rows = fuse.slots(rows, config)
