@@ -359,23 +359,23 @@ def conflict_latest(spark, sf_dir):
 SIG = f"list_filter(list_distinct({c.s_tokens('content')}), lambda x: length(x) >= 2)"
 
 
-@query(
-    "supersession",
-    f"""WITH {c.STATEMENTS}, {STATES}, r AS (SELECT query_id, n, id, ts_ms, content, {SIG} AS sig, len({c.s_numbers(c.S_DATE and "regexp_replace(content, '" + c.S_DATE + "', ' ', 'g')")}) > 0 AS num, len({c.s_dates('content')}) > 0 AS dat,
+SUPERSEDED = f"""WITH {c.STATEMENTS}, {STATES}, r AS (SELECT query_id, n, id, ts_ms, content, {SIG} AS sig, len({c.s_numbers(c.S_DATE and "regexp_replace(content, '" + c.S_DATE + "', ' ', 'g')")}) > 0 AS num, len({c.s_dates('content')}) > 0 AS dat,
   {c.s_any('content', text.UPDATE)} AS cue, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rk FROM q JOIN m USING (user_id) WHERE n < 2),
 g AS (SELECT *, cue AND ((NOT num AND NOT dat) OR (num AND n IN (0, 1))) AS may FROM r WHERE rk <= 40),
 p AS (SELECT a.query_id, CASE WHEN b.ts_ms > a.ts_ms THEN b.id ELSE a.id END AS newer, CASE WHEN b.ts_ms > a.ts_ms THEN a.id ELSE b.id END AS older, CASE WHEN b.ts_ms > a.ts_ms THEN b.may ELSE a.may END AS may
   FROM g a JOIN g b ON a.query_id = b.query_id AND a.rk < b.rk AND a.ts_ms <> b.ts_ms, LATERAL (SELECT len(list_intersect(a.sig, b.sig)) AS i)
-  WHERE i > 0 AND NOT (i = len(a.sig) AND i = len(b.sig)) AND i::DOUBLE / least(len(a.sig), len(b.sig)) >= 0.5)
-SELECT query_id, newer, older FROM p WHERE may""",
-)
+  WHERE i > 0 AND NOT (i = len(a.sig) AND i = len(b.sig)) AND i::DOUBLE / least(len(a.sig), len(b.sig)) >= 0.5)"""
+
+
+@query("supersession", f"{SUPERSEDED} SELECT query_id, newer, older FROM p WHERE may")
 def supersession(spark, sf_dir):
     return score.supersession_pairs(_state_rows(spark, sf_dir), PLAIN)
 
 
 @query(
     "supersession_scores",
-    None,
+    f"""{SUPERSEDED}, ro AS (SELECT query_id, newer AS doc_id, true AS n, false AS o FROM p WHERE may UNION ALL SELECT query_id, older, false, true FROM p WHERE may), ra AS (SELECT query_id, doc_id, bool_or(n) AS n, bool_or(o) AS o FROM ro GROUP BY query_id, doc_id)
+SELECT query_id, doc_id, CASE WHEN n THEN 4.0::DOUBLE ELSE -1.0::DOUBLE END AS score, CASE WHEN n THEN 'supersedes_earlier,explicit_update_cue' ELSE 'superseded' END AS flags FROM ra WHERE n <> o""",
 )
 def supersession_scores(spark, sf_dir):
     rows = score.mark_supersession(_state_rows(spark, sf_dir), PLAIN)
@@ -435,6 +435,9 @@ def rrf_weight_scan(spark, sf_dir):
     return rows.select("weight", "query_id", "doc_id", F.row_number().over(w).cast("long").alias("position"))
 
 
-@query("state_fingerprint")
+LIMBS = ", ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::VARCHAR" for i in range(8))
+
+
+@query("state_fingerprint", f"WITH {c.CHAT}, r AS (SELECT sha256(concat_ws(chr(31), id, user_id, session_id, seq, role, content, ts_ms)) AS h FROM m) SELECT count(*) AS rows, sha256(concat_ws(',', {LIMBS})) AS digest FROM r")
 def state_fingerprint(spark, sf_dir):
     return lifecycle.fingerprint(c.chat(spark, sf_dir), "id", "user_id", "session_id", "seq", "role", "content", "ts_ms")

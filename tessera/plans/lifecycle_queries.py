@@ -347,7 +347,7 @@ def dataset_profile(spark, sf_dir):
     return evaluate.profile(labelled(spark, sf_dir))
 
 
-@query("ndcg")
+@query("ndcg", f"{LABELLED} SELECT lb.query_id, round(coalesce(sum(CASE WHEN list_contains(source_ids, gold) THEN 1 / log2(place + 1) END), 0), 6) AS ndcg FROM lb LEFT JOIN sl ON sl.query_id = lb.query_id WHERE has GROUP BY lb.query_id")
 def ndcg(spark, sf_dir):
     q = labelled(spark, sf_dir)
     return evaluate.ndcg(search.search(q, c.chat_docs(spark, sf_dir), c.SHORT), q.select("query_id", "gold")).select("query_id", F.round("ndcg", 6).alias("ndcg"))
