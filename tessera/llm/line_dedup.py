@@ -4,6 +4,10 @@ A hash rolled over WINDOW line hashes ends a chunk after a line when it is 0 mod
 the lines near them alone and shift with the text. Chunks of at least two lines with words in two of them that occur
 again anywhere are removed, but for the first occurrence (smallest doc_id, then place). Chunks meet by their bytes: they
 are grouped by the text itself, and the hash that carries the verdict back is checked to stand for one text.
+
+Chunks alone miss the ends of a passage and most passages of a few lines, whose boundaries depend on their neighbours.
+The query therefore compares runs across the boundaries, down to the shortest: two lines with words and the blank lines
+between them, at every place. A repeated passage of any length is a row of such pairs.
 """
 
 from __future__ import annotations
@@ -60,5 +64,40 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -
     return _cuts(rows, window, divisor).select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.col("gone_lines").cast("long").alias("removed_lines"), F.expr(f"array_join({kept}, '\\n')").alias("text"))
 
 
+def repeated_pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, a, b, first: the pairs of lines that occur more than once, first where it is the occurrence that stays.
+
+    Lines meet by their bytes, once: each 128-bit key of a line is checked to stand for one text. Pairs of lines then
+    meet by the keys of both and the text of the blank lines between, so no text is shuffled twice.
+    """
+    rows = _texts(docs).withColumn("lines", F.split("text", "\n")).drop("text")
+    inked = rows.withColumn("inked", F.expr("filter(transform(lines, (l, i) -> if(l rlike '\\\\S', struct(i, xxhash64(l) as k1, xxhash64(md5(l), length(l)) as k2), null)), x -> x is not null)"))
+    keyed = inked.select(F.explode(F.expr("transform(inked, x -> struct(x.k1, x.k2, lines[x.i] as text))")).alias("x")).select("x.*")
+    if keyed.groupBy("k1", "k2", "text").agg(F.count(F.lit(1)).alias("held")).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").limit(1).count():
+        raise ValueError("two lines have one 128-bit key")
+    pair = "struct(x.i as a, y.i as b, x.k1 as ka1, x.k2 as ka2, y.i - x.i as span, array_join(slice(lines, x.i + 2, y.i - x.i - 1), '\\n') as blank, y.k1 as kb1, y.k2 as kb2)"
+    after = "zip_with(slice(inked, 1, greatest(size(inked) - 1, 0)), slice(inked, 2, size(inked)), (x, y) -> {})"
+    pairs = inked.select("doc_id", F.explode(F.expr(after.format(pair))).alias("p")).select("doc_id", "p.*")
+    key = ["ka1", "ka2", "span", "blank", "kb1", "kb2"]
+    often = pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("doc_id", "a")).alias("first")).where("held > 1")
+    found = salted_left_join(pairs, often.drop("held"), key).where("first is not null")
+    return found.select("doc_id", "a", "b", F.struct("doc_id", "a").eqNullSafe(F.col("first")).alias("first"))
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """As dedup_lines, but for whole repeated passages of two lines with words or more, wherever chunks would end.
+
+    A line goes if a pair that holds it occurred before; the lines of a repeated pair's first occurrence stay, so every
+    repeated pair is left whole once. A line that fills a text is kept twice.
+    """
+    found = repeated_pairs(docs)
+    lines = lambda first: F.flatten(F.collect_list(F.when(F.col("first") == F.lit(first), F.sequence("a", "b"))))
+    gone = found.groupBy("doc_id").agg(F.array_except(lines(False), lines(True)).alias("gone")).where("size(gone) > 0")
+    gone = materialize(gone, "line-dedup").withColumnRenamed("doc_id", "_id")
+    rows = _texts(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("lines", F.split("text", "\n"))
+    rows = rows.select("doc_id", "lines", F.expr("if(gone is null, sequence(0, size(lines) - 1), array_except(sequence(0, size(lines) - 1), gone))").alias("left"))
+    return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("left")).cast("long").alias("removed_lines"), F.expr("array_join(transform(left, i -> lines[i]), '\\n')").alias("text"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
+    return dedup_passages(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "removed_lines", F.sha2("text", 256).alias("text_sha256"))

@@ -225,3 +225,49 @@ def test_line_dedup_equals_brute_force(spark):
 def test_line_dedup_is_native(spark):
     plan = line_dedup.dedup_lines(frame(spark, [(1, "a\nb")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def whole_passages(rows):
+    """Plain Python: lines of pairs that occurred before go, lines of a repeated pair's first occurrence stay."""
+    pairs = []
+    for i, t in rows:
+        own = (t or "").split("\n")
+        ink = [k for k, x in enumerate(own) if x.strip()]
+        pairs += [("\n".join(own[a : b + 1]), i, a, b) for a, b in zip(ink, ink[1:])]
+    held, first = {}, {}
+    for x, i, a, _ in pairs:
+        held[x], first[x] = held.get(x, 0) + 1, min(first.get(x, (i, a)), (i, a))
+    gone = {(i, k) for x, i, a, b in pairs if first[x] != (i, a) for k in range(a, b + 1)}
+    gone -= {(i, k) for x, i, a, b in pairs if held[x] > 1 and first[x] == (i, a) for k in range(a, b + 1)}
+    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone) for i, t in rows}
+
+
+def test_whole_passages_of_two_to_six_lines_go(spark):
+    rows, want = [], {}
+    for n in range(2, 7):
+        for v in range(4):
+            shared = [f"shared line {x} of passage {n} {v} with some words" for x in range(n)]
+            shared.insert(1, "") if v % 2 else None
+            for copy in range(3):
+                i, head, tail = len(rows), [f"head {n} {v} {copy}", "own words"][: 1 + copy % 2], [f"tail {n} {v} {copy}"]
+                rows.append((i, "\n".join(head + shared + tail)))
+                want[i] = (len(shared) if copy else 0, "\n".join(head + (shared if not copy else []) + tail))
+    got = {r.doc_id: (r.removed_lines, r.text) for r in line_dedup.dedup_passages(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_whole_passages_equal_brute_force(spark):
+    rng = random.Random(4)
+    pool = [f"sentence number {i} with a few words" for i in range(25)] + ["", " "]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 14)))) for i in range(60)] + [(90, None), (91, ""), (92, "x\n" * 20_000), (93, "one line")]
+    got = {r.doc_id: r for r in line_dedup.dedup_passages(frame(spark, rows)).collect()}
+    assert {i: r.text for i, r in got.items()} == whole_passages(rows) and any(got[i].text != (t or "") for i, t in rows)
+    assert all(r.n_lines == len((dict(rows)[i] or "").split("\n")) for i, r in got.items())
+    repeats = [(None, "a b\nc d"), (None, "a b\nc d"), (5, "q\na b\nc d"), (5, "a b")]
+    assert sorted((str(r.doc_id), r.text) for r in line_dedup.dedup_passages(frame(spark, repeats)).collect()) == [("5", "a b"), ("5", "q"), ("None", "a b\nc d"), ("None", "a b\nc d")]
+
+
+def test_whole_passages_are_native(spark):
+    plan = line_dedup.dedup_passages(frame(spark, [(1, "a\nb")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    assert line_dedup.dedup_passages(frame(spark, []).limit(0)).collect() == []
