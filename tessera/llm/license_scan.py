@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -91,7 +92,10 @@ class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, [w for w, _, _ in words_of(text)]
         need = int((1 - COVERAGE) * len(self.words) + 1e-9) + 1
-        held = {w: self.words.count(w) for w in self.words}
+        self.held = held = Counter(self.words)
+        self.places: dict[str, list[int]] = {}
+        for i, w in enumerate(self.words):
+            self.places.setdefault(w, []).append(i)
         self.sentinels: set[str] = set()
         for w in sorted(held, key=lambda w: (w in COMMON, -held[w], -len(w), w)):
             if need <= 0:
@@ -123,6 +127,53 @@ def _regions(at: list[int], reach: int, n: int) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
+def _stretch(t: Template, plain: list[str], a: int, b: int) -> tuple[int, int, int] | None:
+    """(aligned words, start, end) of the stretch of at most twice the template's length that holds most of the aligned words, if it is a copy."""
+    m, pairs_ = len(t.words), patience(t.words, plain[a:b])
+    best, j = (0, 0, 0), 0
+    for i in range(len(pairs_)):
+        while pairs_[i][1] - pairs_[j][1] >= 2 * m:
+            j += 1
+        best = max(best, (i - j + 1, -j, i))
+    held, j, i = best[0], -best[1], best[2]
+    if held < COVERAGE * m:
+        return None
+    s, e = a + pairs_[j][1], a + pairs_[i][1] + 1
+    return (held, s, e) if held >= DENSITY * (e - s) else None
+
+
+def _may_hold(t: Template, have: Counter) -> bool:
+    return sum(min(have[w], n) for w, n in t.held.items()) >= COVERAGE * len(t.words)
+
+
+def _copies(t: Template, plain: list[str], at: list[int], a: int, b: int) -> Iterator[tuple[int, int, int]]:
+    """(aligned words, start, end) of the copies of a template in a region.
+
+    Words of several copies are no anchors in the region as a whole. Where a sentinel occurs more often than in the
+    template, windows of about its length around each sentinel are aligned too. The copies with most aligned and fewest other words
+    are taken, so that none borrows the words of its neighbour.
+    """
+    m, work = len(t.words), [(a, b)]
+    while work:
+        a, b = work.pop()
+        have = Counter(plain[a:b])
+        if not _may_hold(t, have):
+            continue
+        found = {_stretch(t, plain, a, b)}
+        if any(have[w] > t.held[w] for w in t.sentinels):
+            own = at[bisect_left(at, a) : bisect_left(at, b)]
+            spans = {(max(a, i - p - d), min(b, i - p + m + d)) for i in own for p in t.places[plain[i]] for d in (0, m // 4, m // 2)}
+            found |= {_stretch(t, plain, x, y) for x, y in spans if _may_hold(t, Counter(plain[x:y]))}
+        taken: list[tuple[int, int, int]] = []
+        for c in sorted(found - {None}, key=lambda c: (c[2] - c[1] - 2 * c[0], -c[0], c[1])):
+            k = bisect_left(taken, c[1], key=lambda y: y[1])
+            if (k == 0 or taken[k - 1][2] <= c[1]) and (k == len(taken) or c[2] <= taken[k][1]):
+                taken.insert(k, c)
+        yield from taken
+        if taken:
+            work += [(x, y) for x, y in zip([a, *(c[2] for c in taken)], [*(c[1] for c in taken), b]) if x < y]
+
+
 def scan(text: str | None) -> list[tuple[str, float, int, int]]:
     """(license, coverage, start, end) of the templates found, the best of those that overlap; code points, end exclusive."""
     low = (text or "").lower()
@@ -139,21 +190,7 @@ def scan(text: str | None) -> list[tuple[str, float, int, int]]:
         at = sorted(i for s in t.sentinels for i in place.get(s, ()))
         m = len(t.words)
         for a, b in _regions(at, m + m // 2, len(plain)):
-            while a < b:
-                pairs_ = patience(t.words, plain[a:b])
-                # a stretch of at most twice the template's length that holds most of the aligned words
-                best, j = (0, 0, 0), 0
-                for i in range(len(pairs_)):
-                    while pairs_[i][1] - pairs_[j][1] >= 2 * m:
-                        j += 1
-                    best = max(best, (i - j + 1, -j, i))
-                held, j, i = best[0], -best[1], best[2]
-                if held < COVERAGE * m:
-                    break
-                s, e = a + pairs_[j][1], a + pairs_[i][1] + 1
-                if held >= DENSITY * (e - s):
-                    found.append((t.name, held / m, m, words[s][1], words[e - 1][2]))
-                a = e
+            found += [(t.name, held / m, m, words[s][1], words[e - 1][2]) for held, s, e in _copies(t, plain, at, a, b)]
     found.sort(key=lambda x: (-x[2] * x[1], x[3], x[0]))
     kept: list = []
     for x in found:

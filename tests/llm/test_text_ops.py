@@ -311,6 +311,22 @@ def test_licenses_are_found_with_changes_and_nothing_else():
     assert t[a:b] == "Released under the MIT License" and cover == 1.0
 
 
+def test_repeated_licenses_with_text_around_are_all_found():
+    rng = random.Random(8)
+    for name in ("mit", "mit-text", "bsd", "apache-2.0-notice"):
+        copy = license_scan.TEMPLATES[name]
+        inner = copy.strip(".")
+        for parts in (["xx yy. ", "\n", " zz"], ["xx yy. ", ""], ["", " and also the package of others. ", " zz"], ["Parts by others:\n", "\n\nFurther parts, by a second author and the rest of them:\n", "\n", "\nend of notices"]):
+            t = copy.join(parts) if len(parts) > 2 else parts[0] + copy + " " + copy
+            starts = [m.start() for m in re.finditer(re.escape(inner), t)]
+            assert len(starts) > 1 and [(x[0], x[1], x[2], x[3]) for x in license_scan.scan(t)] == [(name, 1.0, a, a + len(inner)) for a in starts], (name, parts)
+    w = license_scan.TEMPLATES["mit-text"].split()
+    one, two = (" ".join(x for i, x in enumerate(w) if i % k) for k in (11, 13))
+    found = license_scan.scan(f"Component A, {rng.random()}\n{one}\nComponent B\n{two}\nthe end")
+    assert [x[0] for x in found] == ["mit-text"] * 2 and all(x[1] > 0.88 for x in found)
+    assert len(license_scan.scan("begin " + "; ".join([license_scan.TEMPLATES["mit"]] * 500) + " end")) == 500
+
+
 # -- toxicity
 
 
