@@ -147,6 +147,34 @@ def consistent(kind_i, value_i, kind_d, value_d, places: np.ndarray, at: np.ndar
     return good, any(m != o for (_, m), o in reading.items())
 
 
+def stretches(at: np.ndarray, place: np.ndarray, span: int, need: int, size: int) -> Iterator[tuple[int, int]]:
+    """(first, past the last) match of the stretches of span windows that hold at least need distinct windows of an item, most first.
+
+    Starts next to one that was tried, by less than an eighth of the item, are left out: they hold the same copy.
+    """
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    ends = np.searchsorted(at, at[first] + span)
+    seen, distinct, hi, lo, held = [0] * size, 0, 0, 0, np.zeros(len(first), np.int64)
+    places = place.tolist()
+    for k, (i, end) in enumerate(zip(first.tolist(), ends.tolist())):
+        while lo < i:
+            seen[places[lo]] -= 1
+            distinct -= not seen[places[lo]]
+            lo += 1
+        while hi < end:
+            distinct += not seen[places[hi]]
+            seen[places[hi]] += 1
+            hi += 1
+        held[k] = distinct
+    able = np.flatnonzero(held >= need)
+    starts, near = at[first], max(1, size // 8)
+    open_ = np.ones(len(first), bool)
+    for k in able[np.argsort(-held[able], kind="stable")]:
+        if open_[k]:
+            yield int(first[k]), int(ends[k])
+            open_[np.searchsorted(starts, starts[k] - near, "right") : np.searchsorted(starts, starts[k] + near)] = False
+
+
 def leaks_in(kind, value, doc, t: Templates, rows: int) -> Iterator[tuple[int, int, float, int, bool]]:
     """(text number, item number, coverage, windows matched, whether slot values differ) of the texts that hold an item."""
     count = np.bincount(doc, minlength=rows)
@@ -170,15 +198,12 @@ def leaks_in(kind, value, doc, t: Templates, rows: int) -> Iterator[tuple[int, i
         need = int(np.ceil(COVERAGE * t.size[number]))
         if b - a < need or len(np.unique(place[a:b])) < need:
             continue
-        # the stretch of the text, up to twice the item's length, that holds most of the item's windows
-        span = 2 * len(t.kind[number]) + 8
-        ends = np.searchsorted(at[a:b], at[a:b] + span)
-        best = max(range(b - a), key=lambda i: (len(np.unique(place[a + i : a + ends[i]])), -i)) if b - a <= 4 * len(t.kind[number]) else int(np.argmax(ends - np.arange(b - a)))
-        lo, hi = a + best, a + ends[best]
-        good, changed = consistent(t.kind[number], t.value[number], kind, value, place[lo:hi], at[lo:hi])
-        held = len(np.unique(place[lo:hi][good]))
-        if held >= need:
-            yield int(doc[at[a]]), number, held / t.size[number], held, changed
+        for lo, hi in stretches(at[a:b], place[a:b], 2 * len(t.kind[number]) + 8, need, t.size[number]):
+            good, changed = consistent(t.kind[number], t.value[number], kind, value, place[a + lo : a + hi], at[a + lo : a + hi])
+            held = len(np.unique(place[a + lo : a + hi][good]))
+            if held >= need:
+                yield int(doc[at[a]]), number, held / t.size[number], held, changed
+                break
 
 
 SCHEMA = "doc_id long, item_id long, coverage double, n_windows long, reparametrised boolean"

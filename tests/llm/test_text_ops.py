@@ -54,6 +54,27 @@ def test_leaks_are_found_whole_and_reparametrised(spark):
     assert {r.doc_id for r in decontaminate.clean(frame(spark, docs), bench).collect()} == {i for i, _ in docs} - {d for d, _ in got}
 
 
+def test_repeated_parts_and_near_templates_hide_no_copy(spark):
+    rng = random.Random(6)
+    noise = lambda n: " ".join(rng.choices([f"tok{i}" for i in range(3000)], k=n))
+    plain = " ".join(f"i{chr(97 + j % 26)}{chr(97 + j // 26)}x" for j in range(30))
+    part = " ".join(plain.split()[:12])
+    table = "sums of 1 2 3 4 5 6 7 and of more than these go into the last column of the sheet as shown here"
+    swapped = lambda k: " ".join(w.replace("Anna", f"Nam{chr(97 + i % 26)}{k}") if w == "Anna" else w.replace("Bell", f"Bel{chr(97 + i % 26)}") for i, w in enumerate(ITEM.split()))
+    many = "if Ada Bell buys 12 apples for 3 dollars each and sells Carl Dorn half of them how much money is left at Eve Finn the day"
+    docs = [(1, f"{part} " * 20 + noise(200) + f" {plain} " + noise(9)), (2, " ".join(str(rng.randint(0, 99)) for _ in range(400)) + f" {noise(90)}. {table}"), (3, f"{noise(9)}. {swapped(1)} {swapped(2)} {noise(150)}. {ITEM} {noise(9)}"), (4, f"{part} " * 20), (5, f"{many}. {many}. {noise(150)}. {ITEM}")]
+    bench = spark.createDataFrame([(1, plain), (2, table), (3, ITEM)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.leaks(frame(spark, docs), bench).collect()}
+    assert got == {(1, 1): 1.0, (2, 2): 1.0, (3, 3): 1.0, (5, 3): 1.0}
+    at, place = np.array([0, 1, 2, 50, 51, 52, 53]), np.array([0, 0, 0, 0, 1, 2, 3])
+    assert list(decontaminate.stretches(at, place, 10, 3, 4)) == [(3, 7), (4, 7)]
+    # an inconsistent reading first, the true copy further on
+    first = "Is 5 plus 6 plus 7 plus 8 plus 9 more than all of these numbers"
+    wrong, right = "is 1 plus 1 plus 1 plus 1 plus 1 more than all of these numbers", "Is 15 plus 16 plus 17 plus 18 plus 19 more than all of these numbers"
+    got = decontaminate.leaks(frame(spark, [(1, f"{wrong}. {noise(99)}. {right}."), (2, f"{wrong}.")]), spark.createDataFrame([(1, first)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.coverage, r.reparametrised) for r in got] == [(1, 1.0, True)]
+
+
 def test_leaks_equal_plain_window_search(spark):
     """Without slots the operator is containment of word windows, found here by brute force."""
     rng = random.Random(4)
