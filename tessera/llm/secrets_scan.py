@@ -31,7 +31,10 @@ SENSITIVE = {
     "password": 3, "passwd": 3, "passphrase": 3, "pwd": 3, "passcode": 3, "secret": 3, "token": 3, "apikey": 3, "api_key": 3, "access_key": 3, "private_key": 3, "secret_key": 3,
     "auth_key": 3, "client_secret": 3, "credential": 2, "credentials": 2, "bearer": 2, "authorization": 2, "encryption_key": 3, "signing_key": 3, "connection_string": 2, "auth": 1, "key": 1, "pin": 1, "salt": 1,
 }
-STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "bearer", "auth", "connection")
+#: What a text without any sensitive name lacks: the names without the signs between their parts, the shortest that hold the others.
+_JOINED = {k.replace("_", "") for k in SENSITIVE}
+STEMS = tuple(sorted(s for s in _JOINED if not any(k != s and k in s for k in _JOINED)))
+SIGNS = re.compile(r"[^a-z0-9]+")
 PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|-+|changeme|change_me|example.*|sample.*|placeholder.*|dummy.*|your[_-].*|my[_-].*|none|null|nil|true|false|undefined|todo|tbd|test|password|passwd|secret|token|string|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|\$[a-z_]+|env\..*|os\.environ.*|process\.env.*)$")
 THRESHOLD = 4.0
 
@@ -62,12 +65,53 @@ def sensitivity(name: str) -> int:
     return best
 
 
-def form(literal: str) -> float:
+class Value:
+    """A literal, or a sum of two values that shares them: what its form needs, and the places of its literals as a tree."""
+
+    __slots__ = ("n", "counts", "head", "tail", "of", "found")
+
+    def __init__(self, n: int, counts: Counter | None, head: str, tail: str, of: tuple):
+        self.n, self.counts, self.head, self.tail, self.of, self.found = n, counts, head, tail, of, False
+
+    @classmethod
+    def literal(cls, text: str, start: int, end: int) -> Value:
+        return cls(len(text), None if any(c.isspace() for c in text) else Counter(text), text[:ENDS], text[-ENDS:], (start, end))
+
+    def __add__(self, other: Value) -> Value:
+        counts = None if self.counts is None or other.counts is None else self.counts + other.counts
+        head = self.head if self.n >= ENDS else (self.head + other.head)[:ENDS]
+        tail = other.tail if other.n >= ENDS else (self.tail + other.tail)[-ENDS:]
+        return Value(self.n + other.n, counts, head, tail, (self, other))
+
+    def places(self) -> Iterator[tuple[int, int]]:
+        """The places of the literals that weren't asked for before."""
+        work = [self]
+        while work:
+            v = work.pop()
+            if v.found:
+                continue
+            v.found = True
+            if isinstance(v.of[0], Value):
+                work += v.of
+            else:
+                yield v.of
+
+
+#: Characters that a value keeps of both ends; placeholders of fixed length are shorter.
+ENDS = 32
+
+
+def form(value: Value) -> float:
     """How much a literal looks like a secret: length, mixture and entropy; 0 for words, placeholders and templates."""
-    if len(literal) < 6 or any(c.isspace() for c in literal) or PLACEHOLDER.match(literal):
+    n, counts = value.n, value.counts
+    if n < 6 or counts is None:
         return 0.0
-    n = len(literal)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
+    # a longer value is a placeholder by its ends and the characters between, of which each counts once
+    inner = "" if n <= ENDS else value.tail[ENDS - (n - ENDS) :] if n <= 2 * ENDS else "".join(counts - Counter(value.head + value.tail)) + value.tail
+    if PLACEHOLDER.match(value.head + inner):
+        return 0.0
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    literal = "".join(counts)
     kinds = sum(map(bool, (re.search("[a-z]", literal), re.search("[A-Z]", literal), re.search("[0-9]", literal), re.search("[^A-Za-z0-9]", literal))))
     return min(n, 20) / 10 + (kinds - 1) * 0.5 + max(0.0, entropy - 2.5) * 0.5
 
@@ -82,10 +126,10 @@ def _inner(raw: str, start: int, end: int) -> tuple[str, int, int]:
     return raw[q : len(raw) - q], start + q, end - q
 
 
-def pairs(text: str) -> Iterator[tuple[str, str, tuple[tuple[int, int], ...]]]:
-    """(name, value, places of its literals) of every assignment, with constants propagated in the order of the text."""
+def pairs(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, value) of every assignment, with constants propagated in the order of the text."""
     tokens = lex(text)
-    known: dict[str, tuple[str, tuple]] = {}
+    known: dict[str, Value] = {}
     i = 0
     while i < len(tokens) - 2:
         kind, raw, a, b = tokens[i]
@@ -95,16 +139,16 @@ def pairs(text: str) -> Iterator[tuple[str, str, tuple[tuple[int, int], ...]]]:
             i += 1
             continue
         name = _inner(raw, a, b)[0] if quoted else raw
-        j, value, places, ok = i + 2, "", (), False
+        j, value, ok = i + 2, None, False
         if j + 1 < len(tokens) and op[1] == ":" and tokens[j][0] == "name" and tokens[j + 1][1] == "=":
             j += 2  # a type between name and value
         while j < len(tokens):
             k, r, x, y = tokens[j]
             if k == "string":
-                own, s, e = _inner(r, x, y)
-                value, places, ok = value + own, (*places, (s, e)), True
+                own = Value.literal(*_inner(r, x, y))
+                value, ok = value + own if value else own, True
             elif k == "name" and r in known:
-                value, places, ok = value + known[r][0], (*places, *known[r][1]), True
+                value, ok = value + known[r] if value else known[r], True
             else:
                 ok = False
                 break
@@ -119,13 +163,12 @@ def pairs(text: str) -> Iterator[tuple[str, str, tuple[tuple[int, int], ...]]]:
             break
         if ok:
             if op[1] == "+=" and name in known:
-                value, places = known[name][0] + value, (*known[name][1], *places)
-            if len(places) <= 64:
-                known[name] = (value, places)
-            yield name, value, places
+                value = known[name] + value
+            known[name] = value
+            yield name, value
         i += 2 if not ok else max(2, j - i)
     for m in CONFIG.finditer(text):
-        yield m["name"], m["value"], ((m.start("value"), m.end("value")),)
+        yield m["name"], Value.literal(m["value"], m.start("value"), m.end("value"))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -140,14 +183,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def lexed_spans(text: str) -> list[tuple[str, int, int]]:
     """Literals that reach a sensitive target; nothing is lexed where no name could be sensitive."""
-    low = text.lower()
-    if not any(s in low for s in STEMS) or not any(c in text for c in "=:"):
+    if "=" not in text and ":" not in text:
+        return []
+    joined = SIGNS.sub("", text.lower())
+    if not any(s in joined for s in STEMS):
         return []
     found: set[tuple[str, int, int]] = set()
-    for name, value, places in pairs(text):
+    for name, value in pairs(text):
         weight = sensitivity(name)
         if weight > 0 and (own := form(value)) > 0 and weight + own >= THRESHOLD:
-            found |= {("lex", a, b) for a, b in places if a < b}
+            found |= {("lex", a, b) for a, b in value.places() if a < b}
     return sorted(found)
 
 

@@ -284,6 +284,35 @@ def test_lexing_follows_names_and_constants():
     assert found('# passphrase = "Zx91pQ77aa"') == []
 
 
+def test_every_sensitive_name_is_lexed_and_long_sums_are_whole():
+    for name in secrets_scan.SENSITIVE:
+        assert len(secrets_scan.lexed_spans(f'{name} = "aZ3kd9Qw77Xy2Lp0Vb5n"')) == 1, name
+    assert found('salt = "aZ3kd9Qw77Xy2Lp0Vb5n"') == found('the pin: "aZ3kd9Qw77Xy2Lp0Vb5n"') == ["aZ3kd9Qw77Xy2Lp0Vb5n"]
+    assert found('to_ken = "aZ3kd9Qw77Xy2Lp0Vb5n"') == ["aZ3kd9Qw77Xy2Lp0Vb5n"]
+    parts = [f"k{i}Zq" for i in range(3000)]
+    text = "s = 'begin'\n" + "".join(f's += "{x}"\n' for x in parts) + "db_pwd = s\n"
+    assert found(text) == ["begin", *parts]
+    assert found(text.replace("s ", "pwd ").replace("= s", "= pwd")) == ["begin", *parts]
+    doubled = 's = "aZ3k"\n' + "s = s + s\n" * 200 + "db_pwd = s\n"
+    assert found(doubled) == ["aZ3k"]
+
+
+def test_form_of_long_values_equals_that_of_their_text():
+    rng = random.Random(15)
+
+    def plain(t):
+        if len(t) < 6 or any(c.isspace() for c in t) or secrets_scan.PLACEHOLDER.match(t):
+            return True
+        return False
+
+    for _ in range(4000):
+        t = "".join(rng.choices(["x", "X", "*", "$", "a_", "<", ">", "example", "my-", "${", "}", "env.", "%(", ")s", "{{", "}}", "Q7", "." * 20, "x" * 40, "password", " "], weights=[4] * 20 + [0.2], k=rng.choice([1, 2, 3, 8, 40])))
+        t = rng.choice([t, "x" * rng.randint(1, 99), "$" + "ab_" * rng.randint(1, 60), "$" + "ab_" * rng.randint(1, 60) + "9", f"<{t}>", f"{'x' * 70}y{'x' * 70}"])
+        cut = rng.randint(0, len(t))
+        value = secrets_scan.Value.literal(t[:cut], 0, cut) + secrets_scan.Value.literal(t[cut:], cut, len(t))
+        assert (secrets_scan.form(value) == 0.0) == plain(t), t
+
+
 def test_secret_digest_columns(spark):
     from pyspark.sql import functions as F
 
