@@ -117,21 +117,55 @@ def parse(data: bytes, pos: int = 0) -> tuple[dict[str, str], bytes, int]:
     return fields, block, b + 4
 
 
-def _member(src: Source, pos: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member that begins at pos."""
+def _member(src: Source, pos: int) -> tuple[bytes, int, str | None]:
+    """(content, end, failure) of the gzip member that begins at pos; after a failure what came before it, and the place up to which was read."""
     z, out, at = zlib.decompressobj(31), [], pos
-    try:
-        while not z.eof:
-            data = src.read(at, min(STEP, src.size - at))
-            if not data:
-                raise Damage("member not closed")
+    while not z.eof:
+        data = src.read(at, min(STEP, src.size - at))
+        if not data:
+            return b"".join(out), at, "member not closed"
+        before = z.copy()
+        try:
             out.append(z.decompress(data))
-            at += len(data)
-            if len(out) == 1 and out[0] and not out[0].startswith(b"WARC/"[: len(out[0])]):
-                raise Damage("member holds no record")
-    except zlib.error as e:
-        raise Damage(f"gzip: {e}") from None
-    return b"".join(out), at - len(z.unused_data)
+        except zlib.error as e:
+            # the step again in smaller and smaller pieces, up to the byte that fails
+            i, piece = 0, len(data)
+            while piece:
+                z = before.copy()
+                try:
+                    out.append(z.decompress(data[i : i + piece]))
+                    before, i = z, i + piece
+                except zlib.error:
+                    piece //= 2
+            return b"".join(out), min(at + len(data), src.size), f"gzip: {e}"
+        at += len(data)
+    return b"".join(out), at - len(z.unused_data), None
+
+
+def _contents(data: bytes, failure: str | None) -> Iterator[tuple]:
+    """('record', fields, block) and ('gap', reason) of a member's content, in order. Where the member failed, only a record whose digest was checked is one."""
+    at, bad = 0, None
+    while at < len(data):
+        try:
+            fields, block, end = parse(data, at)
+            if failure and not fields.get("warc-block-digest", "").startswith("sha1:"):
+                raise Damage(failure)
+        except Damage as e:
+            bad = bad or str(e)
+            m = VERSION.search(data, at + 1)
+            at = m.start() if m else len(data)
+            continue
+        if bad:
+            yield "gap", bad
+            bad = None
+        yield "record", fields, block
+        at = end
+    if failure or bad or not data:
+        yield "gap", failure or bad or "empty member"
+
+
+#: What a header may be up to any of its bytes, so that no other text is read on and on for its closing lines.
+HEADER = re.compile(rb"WARC/1\.[01]\r?\n(?:[A-Za-z0-9-]+:[^\x00-\x08\x0a-\x1f]*+\r\n)*+(?:[A-Za-z0-9-]+(?::[^\x00-\x08\x0a-\x1f]*+)?\r?)?")
 
 
 def _plain(src: Source, pos: int) -> tuple[dict[str, str], bytes, int]:
@@ -144,7 +178,7 @@ def _plain(src: Source, pos: int) -> tuple[dict[str, str], bytes, int]:
         end = data.find(b"\r\n\r\n")
         if end >= 0:
             break
-        if size >= STEP or len(data) < size:
+        if len(data) < size or (size >= STEP and not HEADER.fullmatch(data)):
             raise Damage("header not closed")
         size *= 4
     m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", data[: end + 2])
@@ -161,24 +195,23 @@ def salvage(src: Source) -> Iterator[tuple]:
     """('record', start, end, fields, block) and ('gap', start, end, reason), in order and without holes.
 
     After a failed check the next place that looks like a gzip member or a version line is tried, then the next, until
-    a whole record passes; the bytes between are one gap.
+    a whole record passes; the bytes between are one gap. Within a member the same goes for its content: records before
+    and after the damage are kept, and they and the gaps between share the member's places.
     """
     pos = 0
     gap: tuple[int, str] | None = None
     while pos < src.size:
         lead = src.read(pos, min(3, src.size - pos))
+        failure = None
         try:
             if lead == b"\x1f\x8b\x08":
-                data, end = _member(src, pos)
-                found, at = [], 0
-                while at < len(data):
-                    fields, block, at = parse(data, at)
-                    found.append((fields, block))
-                if not found:
-                    raise Damage("empty member")
+                data, end, failure = _member(src, pos)
+                found = list(_contents(data, failure))
+                if found[0][0] == "gap" and len(found) == 1:
+                    raise Damage(found[0][1])
             else:
                 fields, block, end = _plain(src, pos)
-                found = [(fields, block)]
+                found = [("record", fields, block)]
         except Damage as e:
             gap = gap or (pos, str(e))
             pos = min(src.find(MAGIC, pos + 1, 3), src.find(LINE, pos + 1, 10))
@@ -186,9 +219,15 @@ def salvage(src: Source) -> Iterator[tuple]:
         if gap:
             yield "gap", gap[0], pos, gap[1]
             gap = None
-        for fields, block in found:
-            yield "record", pos, end, fields, block
-        pos = end
+        if failure:
+            found.pop()  # the gap of the failure goes on to the next record
+        for what, *rest in found:
+            yield what, pos, end, *rest
+        if failure:
+            gap = (pos, failure)
+            pos = min(src.find(MAGIC, pos + 1, 3), src.find(LINE, pos + 1, 10))
+        else:
+            pos = end
     if gap:
         yield "gap", gap[0], src.size, gap[1]
 

@@ -217,6 +217,38 @@ def test_salvage_checks_lengths_and_digests():
     assert [x[0] for x in read(multi)] == ["record", "record"]
 
 
+def pages_of(got):
+    return [int(x[3]["page-id"]) for x in got if x[0] == "record"]
+
+
+def test_records_around_damage_within_a_member_are_kept():
+    parts = archive(10, False)
+    digest, length, first = (list(parts) for _ in range(3))
+    digest[4] = digest[4][:-20] + bytes([digest[4][-20] ^ 1]) + digest[4][-19:]
+    length[4] = length[4].replace(b"Content-Length: ", b"Content-Length: 9")
+    first[0] = b"JUNK" + first[0][4:]
+    for hurt, gone in ((digest, 4), (length, 4), (first, 0)):
+        got = read(warc.compress(b"".join(hurt)) + warc.compress(archive(11, False)[10]))
+        assert pages_of(got) == [i for i in range(11) if i != gone] and [x[0] for x in got].index("gap") == gone and sum(x[0] == "gap" for x in got) == 1
+    many = archive(60, False)
+    whole = warc.compress(b"".join(many))
+    cut = read(whole[: len(whole) // 2])
+    assert 20 < len(pages_of(cut)) < 50 and pages_of(cut) == list(range(len(cut) - 1)) and cut[-1][0] == "gap"
+    over = read(whole[: len(whole) // 2] + bytes(200) + whole[len(whole) // 2 + 200 :] + warc.compress(archive(61, False)[60]))
+    assert len(pages_of(over)) > 20 and pages_of(over)[:-1] == list(range(len(pages_of(over)) - 1)) and pages_of(over)[-1] == 60
+    summed = read(whole[:-8] + bytes(8))
+    assert pages_of(summed) == list(range(60)) and summed[-1][0] == "gap"
+    nameless = re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", b"".join(many))
+    assert pages_of(read(warc.compress(nameless))) == list(range(60)) and pages_of(read(warc.compress(nameless)[:-8] + bytes(8))) == []
+
+
+def test_long_headers_are_read_up_to_their_closing_lines():
+    parts = archive(3, False)
+    parts[1] = parts[1].replace(b"WARC-Date", b"X-Note: " + b"n" * 300_000 + b"\r\nWARC-Date")
+    assert pages_of(read(b"".join(parts))) == [0, 1, 2]
+    assert [x[0] for x in read(b"WARC/1.1\r\nX-Note: " + b"n" * 300_000 + b"\x00" * 300_000 + parts[0])] == ["gap", "record"]
+
+
 def test_salvage_of_random_damage_keeps_whole_records():
     rng = random.Random(10)
     for _ in range(30):
