@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Text handled at once by the array code, so that its temporaries stay near 50 MB.
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1000
+#: Keys that a join takes out of the shuffle, at most.
+HOT_KEYS = 2000
 #: Fixed odd base and seed of the word hashes.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -78,11 +80,25 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def salted_left_join(big: DataFrame, small: DataFrame, key: list[str], salts: int = 16) -> DataFrame:
-    """Left join whose big side may have a third of its rows under one key; small has one row a key at most."""
-    big = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if c not in key] or [F.lit(0)]), F.lit(salts)).cast("int"))
-    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.join(small, [*key, "_salt"], "left").drop("_salt")
+def skewed_left_join(big: DataFrame, small: DataFrame, key: list[str], held: str) -> DataFrame:
+    """Left join on key, where big may have a third of its rows under one key; small has a row a key at most, and in held (not null) how many rows of big its key has.
+
+    The keys of at least 1 / HOT_KEYS of all rows are HOT_KEYS at most, whatever the size: they are broadcast and their
+    rows joined where they lie. These rows, and those with a null in the key, then go through the shuffled join
+    of the others under a spread key of no match, so big is read once and no key gathers them. small is read twice: pass a written table.
+    """
+    total = small.agg(F.sum(held)).first()[0] or 0
+    limit = max(1000, -(-total // HOT_KEYS))
+    own = [c for c in small.columns if c not in key]
+    hot = F.broadcast(small.where(F.col(held) >= limit).select(*key, F.struct(*own).alias("_hot")))
+    spread = F.xxhash64(*[F.col(c) for c in big.columns if c not in key] or [F.lit(0)])
+    alone = F.col("_hot").isNotNull()
+    for c in key:
+        alone = alone | F.col(c).isNull()
+    left = big.join(hot, key, "left").withColumn("_spread", F.when(alone, F.pmod(spread, F.lit(1 << 20)) + 1).otherwise(0))
+    rest = small.where(F.col(held) < limit).select(*key, F.struct(*own).alias("_cold"), F.lit(0).cast("long").alias("_spread"))
+    out = left.withColumn("_spread", F.col("_spread").cast("long")).join(rest, [*key, "_spread"], "left")
+    return out.select(*big.columns, *[F.coalesce(f"_hot.{c}", f"_cold.{c}").alias(c) for c in own])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

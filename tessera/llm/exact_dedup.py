@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, partitions, salted_left_join, table
+from tessera.llm.common import materialize, partitions, skewed_left_join, table
 
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 #: Normalised text that a task's index holds before it is flushed; a flush costs a further partial group, no result.
@@ -183,7 +183,7 @@ MERGED = "digest binary, keep_id long, group_size long"
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the partial groups of the digests dealt to this task. Across tasks the content of a digest is its bucketed key: a second 128-bit hash and the length."""
+    """Merge the partial groups of the digests dealt to this task. Hits compare a second 128-bit hash and the length; the texts themselves are compared by verify()."""
     index = CuckooIndex()
     for batch in batches:
         for digest, key2, chars, doc_id, members in zip(*(c.to_pylist() for c in batch.columns)):
@@ -196,32 +196,54 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(d, pa.binary()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["digest", "keep_id", "group_size"])
 
 
+def _content(text) -> F.Column:
+    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]", "")
+
+
+def verify(docs: DataFrame, leads: DataFrame) -> None:
+    """Compare the contents of the digests that several stretches of input hold, byte by byte: only their texts are shuffled, once a task.
+
+    Within a stretch the index has compared them. Raises ValueError if a digest stands for two contents.
+    """
+    met = leads.groupBy("digest").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("digest")
+    texts = docs.select(_content(F.col("text")).alias("content")).withColumn("digest", F.unhex(F.sha2("content", 256))).join(met, "digest", "left_semi")
+    if texts.groupBy("digest", "content").agg(F.count(F.lit(1)).alias("held")).groupBy("digest").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1").limit(1).count():
+        raise ValueError("two contents have one digest")
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty; empty texts form one group. A null doc_id loses every tie and, if its row stays,
     keep_id is null. Rows that repeat a doc_id are members like any others; of rows that tie in length and id, all
-    carry kept = true if their id is keep_id. Other columns of docs are not read, so their names can't clash.
-    Only digests are shuffled, a row per distinct digest and stretch of input, so a hot text is one row a task.
+    carry kept = true if their id is keep_id. Ids are taken as longs. Other columns of docs are not read, so their
+    names can't clash. Groups meet by digest, a row per distinct digest and stretch of input, so a hot text is one row a
+    task; the texts of digests that several stretches hold are then compared.
     """
     spark = docs.sparkSession
-    local = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    local = materialize(local.mapInArrow(_local, "doc_id long, digest binary, key2 binary, n_chars long, part long, lead boolean, best_chars long, best_id long, members long"), "exact-local")
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    local = materialize(own.mapInArrow(_local, "doc_id long, digest binary, key2 binary, n_chars long, part long, lead boolean, best_chars long, best_id long, members long"), "exact-local")
     leads = local.where("lead").select("digest", "key2", "best_chars", "best_id", "members")
-    groups = leads.repartition(partitions(spark), "digest").mapInArrow(_merge, MERGED)
-    out = salted_left_join(local.select("doc_id", "digest"), groups, ["digest"])
+    verify(own, leads)
+    groups = materialize(leads.repartition(partitions(spark), "digest").mapInArrow(_merge, MERGED), "exact-groups")
+    out = skewed_left_join(local.select("doc_id", "digest"), groups, ["digest"], "group_size")
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows that repeat an id and its text become one."""
-    groups = exact_groups(docs)
-    dropped = groups.where("not kept").select(F.col("doc_id").alias("_drop"))
-    dropped = dropped.join(groups.where("kept").select(F.col("doc_id").alias("_keep")), F.col("_drop").eqNullSafe(F.col("_keep")), "left_anti").distinct()
-    kept = docs.join(dropped, docs.doc_id.eqNullSafe(dropped._drop), "left_anti")
-    if groups.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    """One row of docs for each group of equal texts, with all its columns: the row that exact_groups keeps.
+
+    Rows are told apart by id and text: of rows that share both the id and the normalised text of the kept one, the
+    longest text stays, then the smallest.
+    """
+    groups = materialize(exact_groups(docs).where("kept").groupBy("keep_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows")), "exact-kept")
+    keep = groups.select(F.col("keep_id").alias("_kept_id"), F.unhex("text_sha256").alias("_kept_sha"))
+    rows = docs.withColumn("_own_sha", F.unhex(F.sha2(_content(F.col("text")), 256)))
+    kept = rows.join(keep, rows.doc_id.cast("long").eqNullSafe(keep["_kept_id"]) & (rows["_own_sha"] == keep["_kept_sha"]), "left_semi")
+    if groups.where("rows > 1").limit(1).count():
+        order = Window.partitionBy(F.col("doc_id"), F.col("_own_sha")).orderBy(F.desc(F.length("text")), "text")
+        kept = kept.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    return kept.drop("_own_sha")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, materialize, mix, partitions, salted_left_join, shingle_sets, table
+from tessera.llm.common import components, materialize, mix, partitions, skewed_left_join, shingle_sets, table
 
 #: Rows (65 535 at most: they are numbered in 16 bits) and shingles of a chunk.
 CHUNK_DOCS, CHUNK_SHINGLES = 2048, 600_000
@@ -330,7 +330,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     found = classes.join(linked, "cls", "left").join(joined, classes.cls == joined.node, "left")
     found = found.select("sig", "cls", "cnt", F.coalesce("component", "cls").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     alone = rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("class_id"))
-    full = salted_left_join(rows.where("n > 0").select("doc_id", "n", "sig"), found, ["sig"])
+    full = skewed_left_join(rows.where("n > 0").select("doc_id", "n", "sig"), materialize(found, "ngram-found"), ["sig"], "cnt")
     full = full.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("links") + F.col("cnt") - 1).alias("n_links"), F.col("cls").alias("class_id"))
     return full.unionByName(alone)
 

@@ -13,10 +13,14 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_chat_quotes": quote_links.op9_chat_quotes,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    # the same operators over tables made from the test tables, for what those hold little of
+    "repeated_pages": warc.repeated_pages,
 }
 ORACLE_SQL = {
     "op2_warc": warc.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op7_ngram_join": ngram_join.SQL,
     "op9_chat_quotes": quote_links.SQL,
+    "op10_line_dedup": line_dedup.SQL,
+    "repeated_pages": warc.REPEATED_SQL,
 }

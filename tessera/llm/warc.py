@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, new_path, partitions, salted_left_join, table
+from tessera.llm.common import materialize, new_path, partitions, skewed_left_join, table
 
 #: Compressed size at which a task begins its next archive; payloads of this many bytes are recorded once.
 ROLL_BYTES, REVISIT_BYTES = 32 << 20, 1000
@@ -87,8 +87,30 @@ class Source:
         return self.size
 
 
+NUMBER, PAGE = re.compile(r"[0-9]{1,18}"), re.compile(r"-?[0-9]{1,19}")
+
+
+def number(fields: dict[str, str], name: str, form: re.Pattern = NUMBER) -> int:
+    """A header's number, in ASCII digits and the range of a long; anything else is damage."""
+    value = fields.get(name, "")
+    if not form.fullmatch(value) or not -(1 << 63) <= int(value) < 1 << 63:
+        raise Damage(f"no number in {name}")
+    return int(value)
+
+
+def payload_of(fields: dict[str, str], block: bytes) -> bytes:
+    return block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
+
+
+def _whole_payload(fields: dict[str, str], block: bytes) -> bool:
+    """Whether the payload digest is that of this record's own payload: not of a revisit, a cut or segmented record, or a body in transfer coding."""
+    if fields.get("warc-type") == "revisit" or "warc-truncated" in fields or "warc-segment-number" in fields:
+        return False
+    return b"transfer-encoding" not in block.partition(b"\r\n\r\n")[0].lower() or not fields.get("content-type", "").startswith("application/http")
+
+
 def parse(data: bytes, pos: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """(fields, block, end) of the record that begins at pos; checks version, fields, length, closing lines and block digest."""
+    """(fields, block, end) of the record that begins at pos; checks version, fields, numbers, closing lines and both digests."""
     m = VERSION.match(data, pos)
     if not m:
         raise Damage("no version line")
@@ -106,14 +128,16 @@ def parse(data: bytes, pos: int = 0) -> tuple[dict[str, str], bytes, int]:
             fields[name.decode().lower()] = value.strip().decode("utf-8", "surrogatepass")
         except UnicodeDecodeError:
             raise Damage("header isn't UTF-8") from None
-    if not fields.get("content-length", "").isdigit():
-        raise Damage("no length")
-    a, b = end + 4, end + 4 + int(fields["content-length"])
-    block = data[a:b]
-    if len(block) != b - a or data[b : b + 4] != b"\r\n\r\n":
+    a, b = end + 4, end + 4 + number(fields, "content-length")
+    if "page-id" in fields:
+        number(fields, "page-id", PAGE)
+    if data[b : b + 4] != b"\r\n\r\n":
         raise Damage("length doesn't fit")
+    block = data[a:b]
     if (said := fields.get("warc-block-digest", "")).startswith("sha1:") and digest(block) != said:
         raise Damage("block digest differs")
+    if (said := fields.get("warc-payload-digest", "")).startswith("sha1:") and _whole_payload(fields, block) and digest(payload_of(fields, block)) != said:
+        raise Damage("payload digest differs")
     return fields, block, b + 4
 
 
@@ -181,7 +205,7 @@ def _plain(src: Source, pos: int) -> tuple[dict[str, str], bytes, int]:
         if len(data) < size or (size >= STEP and not HEADER.fullmatch(data)):
             raise Damage("header not closed")
         size *= 4
-    m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", data[: end + 2])
+    m = re.search(rb"(?i)\r\ncontent-length:[ \t]*([0-9]{1,18})[ \t]*\r\n", data[: end + 2])
     if not m or pos + end + 4 + int(m[1]) > src.size:
         raise Damage("length doesn't fit")
     fields, block, n = parse(src.read(pos, min(end + 8 + int(m[1]), src.size - pos)))
@@ -198,8 +222,16 @@ def salvage(src: Source) -> Iterator[tuple]:
     a whole record passes; the bytes between are one gap. Within a member the same goes for its content: records before
     and after the damage are kept, and they and the gaps between share the member's places.
     """
-    pos = 0
+    pos, places = 0, [-1, -1]
     gap: tuple[int, str] | None = None
+
+    def following() -> int:
+        """The next place after pos that looks like a beginning. Each kind's is remembered until it is passed, so that a file is searched once for each."""
+        for i, (what, width) in enumerate(((MAGIC, 3), (LINE, 10))):
+            if places[i] <= pos:
+                places[i] = src.find(what, pos + 1, width)
+        return min(places)
+
     while pos < src.size:
         lead = src.read(pos, min(3, src.size - pos))
         failure = None
@@ -214,7 +246,7 @@ def salvage(src: Source) -> Iterator[tuple]:
                 found = [("record", fields, block)]
         except Damage as e:
             gap = gap or (pos, str(e))
-            pos = min(src.find(MAGIC, pos + 1, 3), src.find(LINE, pos + 1, 10))
+            pos = following()
             continue
         if gap:
             yield "gap", gap[0], pos, gap[1]
@@ -225,7 +257,7 @@ def salvage(src: Source) -> Iterator[tuple]:
             yield what, pos, end, *rest
         if failure:
             gap = (pos, failure)
-            pos = min(src.find(MAGIC, pos + 1, 3), src.find(LINE, pos + 1, 10))
+            pos = following()
         else:
             pos = end
     if gap:
@@ -278,8 +310,8 @@ def write_archives(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> Data
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("n", F.octet_length("html")).withColumn("sha", F.when(F.col("n") >= revisit_bytes, F.sha1("html")))
-    tops = rows.where("sha is not null").groupBy("sha", "n").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("held")).where("held > 1 and top is not null").select("sha", "n", "top")
-    rows = salted_left_join(rows, tops, ["sha", "n"])
+    tops = rows.where("sha is not null").groupBy("sha", "n").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("held")).where("held > 1 and top is not null")
+    rows = skewed_left_join(rows, materialize(tops, "warc-tops"), ["sha", "n"], "held")
     rows = rows.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers"))
     return materialize(rows.mapInArrow(_write(_uri(new_path(spark, "warc"))), "path string, records long, bytes long"), "warc-list")
 
@@ -298,7 +330,7 @@ def read_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
                             rows.append((path, a, b, "gap", None, None, None, None, None, None, rest[0]))
                         else:
                             fields, block = rest
-                            payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
+                            payload = payload_of(fields, block)
                             page = fields.get("page-id")
                             rows.append((path, a, b, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-refers-to"), int(page) if page else None, fields.get("warc-target-uri"), payload, fields.get("warc-payload-digest"), None))
                             size += len(payload)
@@ -312,14 +344,22 @@ def read_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Per response or revisit: page_id, payload_bytes, payload_digest (hex), record_type, refers_to; a revisit has the payload of the response that it names."""
-    rows = records.where("kind in ('response', 'revisit')").select("kind", "record_id", "refers", "page_id", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha"))
+    """Per response or revisit: page_id, payload_bytes, payload_digest (hex), record_type, refers_to.
+
+    A revisit has the payload of the response that it names (of several records of that id, of one: the largest
+    page_id). One that names no response, or one with another payload digest than it says itself, has no payload and
+    refers to nothing: three nulls.
+    """
+    said = F.when(F.col("said").startswith("sha1:"), F.col("said"))
+    rows = records.where("kind in ('response', 'revisit')").select("kind", "record_id", "refers", "page_id", said.alias("said"), F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha"))
     rows = materialize(rows, "warc-records")
-    named = rows.where("kind = 'response'").groupBy(F.col("record_id").alias("refers")).agg(F.max("page_id").alias("to"), F.max("n").alias("to_n"), F.max("sha").alias("to_sha"))
-    wanted = rows.where("kind = 'revisit'").select("refers").distinct()
-    full = salted_left_join(rows.where("kind = 'revisit'"), named.join(wanted, "refers", "left_semi"), ["refers"])
+    wanted = rows.where("kind = 'revisit'").groupBy("refers").agg(F.count(F.lit(1)).alias("held"))
+    named = rows.where("kind = 'response'").select(F.col("record_id").alias("refers"), F.struct("page_id", "n", "sha", "said").alias("to")).join(wanted, "refers")
+    named = materialize(named.groupBy("refers", "held").agg(F.max("to").alias("to")), "warc-named")
+    full = skewed_left_join(rows.where("kind = 'revisit'"), named, ["refers"], "held")
+    same = F.col("to").isNotNull() & F.coalesce(F.col("said") == F.col("to.said"), F.lit(True))
     plain = rows.where("kind = 'response'").select("page_id", F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"), F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    return plain.unionByName(full.select("page_id", F.col("to_n").alias("payload_bytes"), F.col("to_sha").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("to").alias("refers_to")))
+    return plain.unionByName(full.select("page_id", F.when(same, F.col("to.n")).alias("payload_bytes"), F.when(same, F.col("to.sha")).alias("payload_digest"), F.col("kind").alias("record_type"), F.when(same, F.col("to.page_id")).alias("refers_to")))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,6 +367,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(read_archives(spark, written))
 
 
+
+def repeated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives of pages made from those of the table so that payloads of 999, 1000 and 1001 bytes repeat: what the table itself has few of."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("substr(repeat(md5(cast(page_id % 50 as string)), 40), 1, cast(999 + page_id % 3 as int))").alias("html"))
+    return resolve(read_archives(spark, write_archives(pages)))
+
+
 SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS sha FROM p),
@@ -334,3 +381,4 @@ t AS (SELECT *, max(page_id) OVER (PARTITION BY sha, n) AS top FROM d)
 SELECT page_id, n::BIGINT AS payload_bytes, sha AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM t
 """
+REPEATED_SQL = SQL.replace("SELECT page_id, coalesce(html, '') AS h FROM pages", "SELECT page_id, substr(repeat(md5((page_id % 50)::VARCHAR), 40), 1, 999 + page_id % 3) AS h FROM pages")

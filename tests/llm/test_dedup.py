@@ -47,7 +47,7 @@ def test_exact_keep_first_keeps_columns_and_one_row_each(spark):
     assert sorted(texts) == sorted({squeeze(t) for _, t in rows})
 
 
-@pytest.mark.parametrize("operator", [exact_dedup.exact_groups, ngram_join.jaccard_classes, line_dedup.dedup_lines, exact_dedup.keep_first, ngram_join.keep_one])
+@pytest.mark.parametrize("operator", [exact_dedup.exact_groups, ngram_join.jaccard_classes, line_dedup.dedup_passages, exact_dedup.keep_first, ngram_join.keep_one])
 def test_empty_tables(spark, operator):
     assert operator(frame(spark, []).limit(0)).collect() == []
 
@@ -179,52 +179,32 @@ def test_ngram_join_null_ids_and_repeats(spark):
 PASSAGE = "\n".join(f"line {i} of a passage that many documents share with words enough" for i in range(12))
 
 
-def test_line_dedup_removes_repeated_chunks_once(spark):
+def test_line_dedup_removes_a_shared_passage_once(spark):
     rows = [(i, f"head {i}\nown {i}\n{PASSAGE}\ntail {i}\nend {i}") for i in range(5)] + [(50, "clean\nlines\nonly"), (51, None), (52, ""), (53, "x\n" * 50_000)]
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
-    texts = dict(rows)
-    assert got[0].text == texts[0] and got[0].removed_lines == 0 and got[50].text == "clean\nlines\nonly" and got[51].text == got[52].text == ""
-    for i in range(1, 5):
-        own = texts[i].split("\n")
-        left = got[i].text.split("\n")
-        assert got[i].removed_lines >= 6 and len(left) == len(own) - got[i].removed_lines
-        it = iter(own)
-        assert all(x in it for x in left)  # in order, nothing else
-        assert left[:2] == own[:2] and left[-2:] == own[-2:]
-
-
-def test_line_dedup_equals_brute_force(spark):
-    """Chunks by the same boundaries from the hashes of Spark, removed in plain Python."""
-    rng = random.Random(2)
-    pool = [f"sentence number {i} with a few words" for i in range(12)] + ["", " "]
-    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 14)))) for i in range(60)]
-    lines = sorted({x for _, t in rows for x in t.split("\n")})
-    h = {r.l: r.h for r in spark.createDataFrame([(x,) for x in lines], "l string").select("l", F.xxhash64("l").alias("h")).collect()}
-    pairs = sorted({(h[a], h[b]) for _, t in rows for a, b in zip(t.split("\n")[1:], t.split("\n"))} | {(v, 0) for v in h.values()})
-    cut = {(r.a, r.b): r.c for r in spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.expr("pmod(xxhash64(a, b), 2L) = 0").alias("c")).collect()}
-    chunks = {}
-    for i, t in rows:
-        own, out, at = t.split("\n"), [], []
-        for k, x in enumerate(own):
-            at.append(x)
-            if k == len(own) - 1 or cut[h[x], h[own[k - 1]] if k else 0]:
-                out.append(at)
-                at = []
-        chunks[i] = out
-    able = lambda c: len(c) > 1 and sum(bool(x.strip()) for x in c) > 1
-    first = {}
-    for i, _ in rows:
-        for k, c in enumerate(chunks[i]):
-            if able(c):
-                first.setdefault("\n".join(c), (i, k))
-    want = {i: "\n".join("\n".join(c) for k, c in enumerate(chunks[i]) if not able(c) or first["\n".join(c)] == (i, k)) for i, _ in rows}
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
-    assert got == want and any(got[i] != t for i, t in rows)
-
-
-def test_line_dedup_is_native(spark):
-    plan = line_dedup.dedup_lines(frame(spark, [(1, "a\nb")]))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    got = {r.doc_id: r for r in line_dedup.dedup_passages(frame(spark, rows)).collect()}
+    assert got[0].text == dict(rows)[0] and got[0].removed_lines == 0 and got[50].text == "clean\nlines\nonly" and got[51].text == got[52].text == ""
+    assert all(got[i].text == f"head {i}\nown {i}\ntail {i}\nend {i}" for i in range(1, 5))
+
+
+def test_rows_that_repeat_an_id_lose_only_their_own_copies(spark):
+    other = "\n".join(f"unrelated line {i} of another text" for i in range(24))
+    rows = [(1, PASSAGE), (5, PASSAGE + "\n" + "\n".join(f"more words {i} here" for i in range(12))), (5, other), (None, other + "\nx y"), (None, "a b\nc d")]
+    got = sorted((str(r.doc_id), r.n_lines, r.removed_lines) for r in line_dedup.dedup_passages(frame(spark, rows)).collect())
+    assert got == [("1", 12, 0), ("5", 24, 12), ("5", 24, 24), ("None", 2, 0), ("None", 25, 0)]
+
+
+def test_recall_of_repeated_passages_is_whole(spark):
+    """Passages of 2 to 20 lines with random text around: every line of every later copy goes, and no other."""
+    rng = random.Random(17)
+    line = lambda: " ".join(rng.choices([f"w{i}" for i in range(5000)], k=8))
+    rows, want = [], {}
+    for n in (2, 3, 5, 8, 20):
+        for _ in range(6):
+            shared = [line() for _ in range(n)]
+            for copy in range(3):
+                want[len(rows)] = n if copy else 0
+                rows.append((len(rows), "\n".join([line() for _ in range(rng.randint(0, 9))] + shared + [line() for _ in range(rng.randint(0, 9))])))
+    assert {r.doc_id: r.removed_lines for r in line_dedup.dedup_passages(frame(spark, rows)).collect()} == want
 
 
 def whole_passages(rows):
@@ -271,3 +251,46 @@ def test_whole_passages_are_native(spark):
     plan = line_dedup.dedup_passages(frame(spark, [(1, "a\nb")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
     assert line_dedup.dedup_passages(frame(spark, []).limit(0)).collect() == []
+
+
+def sql_rows(sql, rows):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": pd.array([i for i, _ in rows], "Int64"), "text": pd.array([t for _, t in rows], "string")}))
+    return con.sql(sql).fetchall()
+
+
+def test_line_dedup_equals_its_sql(spark):
+    rng = random.Random(5)
+    pool = [f"sentence number {i} with a few words" for i in range(25)] + ["", " ", "\t"]
+    rows = [(i % 50, "\n".join(rng.choices(pool, k=rng.randint(1, 14)))) for i in range(60)] + [(90, None), (91, ""), (None, "q w\ne r"), (95, "q w\ne r\nt")]
+    got = line_dedup.dedup_passages(frame(spark, rows)).select("doc_id", "n_lines", "removed_lines", F.sha2("text", 256)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, sql_rows(line_dedup.SQL, rows)))
+
+
+def test_keep_first_keeps_no_copy_of_repeated_ids(spark):
+    rows = [(2, "bbb"), (5, "bbb"), (5, "ccc"), (7, "a b"), (7, "a\tb"), (7, "ab"), (None, "dd"), (None, "dd"), (9, "dd")]
+    got = sorted((str(r.doc_id), r.text) for r in exact_dedup.keep_first(frame(spark, rows)).collect())
+    assert got == [("2", "bbb"), ("5", "ccc"), ("7", "a\tb"), ("9", "dd")]
+
+
+def test_contents_of_met_digests_are_compared(spark, monkeypatch):
+    rows = frame(spark, [(1, "a b"), (2, "ab"), (3, "c")]).repartition(3)
+    leads = rows.select(F.unhex(F.sha2(F.lit("x"), 256)).alias("digest"))
+    exact_dedup.verify(rows, leads)
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("ab"))
+    with pytest.raises(ValueError):
+        exact_dedup.verify(rows, rows.select(F.unhex(F.lit("ab")).alias("digest")))
+
+
+def test_a_hot_key_is_spread_and_joined_whole(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    big = spark.range(6000).select(F.when(F.col("id") % 7 == 0, None).when(F.col("id") < 5000, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
+    small = common.materialize(big.where("k is not null and id % 2 = 0").groupBy("k").agg(F.count(F.lit(1)).alias("held"), F.min("id").alias("first")), "test-small")
+    got = common.skewed_left_join(big, small, ["k"], "held")
+    want = big.join(small, "k", "left")
+    assert got.columns == ["k", "id", "held", "first"] and got.exceptAll(want.select(got.columns)).count() == 0 == want.select(got.columns).exceptAll(got).count()

@@ -265,6 +265,47 @@ def test_salvage_of_random_damage_keeps_whole_records():
         assert set(whole) <= set(pages)
 
 
+def test_malformed_headers_end_as_gaps_and_lose_nothing_else():
+    parts = archive(6, False)
+    for old, new in ((rb"Content-Length: \d+", "Content-Length: ²".encode()), (rb"Content-Length: \d+", b"Content-Length: " + b"9" * 5000), (rb"Content-Length: \d+", b"Content-Length: -4"), (rb"Page-ID: 2", b"Page-ID: abc"), (rb"Page-ID: 2", b"Page-ID: " + b"9" * 19), (rb"WARC-Payload-Digest: sha1:.", b"WARC-Payload-Digest: sha1:~")):
+        hurt = list(parts)
+        hurt[2] = re.sub(old, new, hurt[2], count=1)
+        assert hurt[2] != parts[2]
+        for made in (b"".join(hurt), b"".join(map(warc.compress, hurt)), warc.compress(b"".join(hurt))):
+            assert pages_of(read(made)) == [0, 1, 3, 4, 5] and sum(x[0] == "gap" for x in read(made)) == 1, new[:40]
+
+
+def test_fuzzed_headers_never_raise():
+    rng = random.Random(19)
+    for _ in range(150):
+        parts, whole = archive(4, False), [0, 3]
+        for i in (1, 2):
+            p = bytearray(parts[i])
+            end = p.find(b"\r\n\r\n")
+            for _ in range(rng.randint(1, 6)):
+                p[rng.randrange(end)] = rng.choice(b"0123456789:-\r\n \x00\xb2\xffaZ")
+            parts[i] = bytes(p)
+        for made in (b"".join(parts), b"".join(map(warc.compress, parts))):
+            assert {str(i) for i in whole} <= {x[3].get("page-id") for x in read(made) if x[0] == "record"}
+
+
+def test_salvage_takes_time_in_proportion():
+    import time
+
+    parts = [warc.compress(warc.record(i, f"http://x/{i}", random.Random(i).randbytes(3000), None)) for i in range(4000)]
+    for i in range(0, 4000, 2):
+        parts[i] = parts[i][:40] + bytes(8) + parts[i][48:]
+    began = time.perf_counter()
+    got = read(b"".join(parts))
+    assert pages_of(got) == list(range(1, 4000, 2)) and time.perf_counter() - began < 4
+
+
+def test_a_revisit_of_another_payload_has_none(spark):
+    rows = [("response", "<a>", None, 1, b"x" * 5, warc.digest(b"x" * 5)), ("revisit", "<b>", "<a>", 2, b"", warc.digest(b"x" * 5)), ("revisit", "<c>", "<a>", 3, b"", warc.digest(b"y")), ("revisit", "<d>", "<none>", 4, b"", None)]
+    got = {r.page_id: (r.payload_bytes, r.refers_to) for r in warc.resolve(spark.createDataFrame(rows, "kind string, record_id string, refers string, page_id long, payload binary, said string")).collect()}
+    assert got == {1: (5, None), 2: (5, 1), 3: (None, None), 4: (None, None)}
+
+
 def test_archives_round_trip(spark):
     big = "p" * 1500
     rows = [(1, "http://a", big), (5, None, big), (9, "http://c\r\nx", big), (2, "u", "small"), (3, "u", "small"), (4, "u", None), (6, "u", ""), (None, "u", big), (7, "u", "é" * 600), (8, "u", "é" * 600), (8, "u", "é" * 600), (10, "u", "q" * 999), (11, "u", "q" * 999)]
