@@ -34,7 +34,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """doc_id, row, a, b, p1, p2, first: the windows that occur more than once, first where it is the occurrence that stays."""
     rows = _rows(docs).withColumn("inked", F.expr(INKED))
-    windows = rows.select("doc_id", "row", F.explode(F.expr(ROLLED)).alias("w")).select("doc_id", "row", "w.*")
+    windows = rows.select("doc_id", "row", F.explode_outer(F.expr(ROLLED)).alias("w")).where("w is not null").select("doc_id", "row", "w.*")  # outer: a filter inferred from explode would roll the hashes twice
     often = windows.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("held"), F.min(F.struct("doc_id", "row", "a")).alias("top")).where("held > 1")
     found = skewed_left_join(windows, materialize(often, "line-windows"), ["p1", "p2"], "held").where("held is not null")
     return found.select("doc_id", "row", "a", "b", "p1", "p2", F.struct("doc_id", "row", "a").eqNullSafe(F.col("top")).alias("first"))
@@ -53,7 +53,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     rows = _rows(docs)
     rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("doc_id", "lines", "spans")
     rows = materialize(rows, "line-texts")
-    texts = rows.where("spans is not null").select(F.explode(F.expr("transform(spans, s -> struct(s.p1, s.p2, array_join(slice(lines, s.a + 1, s.b - s.a + 1), '\n') as text))")).alias("w")).select("w.*")
+    texts = rows.where("spans is not null").select(F.explode_outer(F.expr("transform(spans, s -> struct(s.p1, s.p2, array_join(slice(lines, s.a + 1, s.b - s.a + 1), '\n') as text))")).alias("w")).select("w.*")
     if texts.groupBy("p1", "p2", "text").agg(F.count(F.lit(1)).alias("held")).groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").limit(1).count():
         raise ValueError("two windows have one 128-bit hash")
     places = lambda first: f"flatten(transform(filter(spans, s -> {first}), s -> sequence(s.a, s.b)))"

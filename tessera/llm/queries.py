@@ -15,6 +15,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     # the same operators over tables made from the test tables, for what those hold little of
     "repeated_pages": warc.repeated_pages,
+    "quoting_conversations": quote_links.quoting_conversations,
 }
 ORACLE_SQL = {
     "op2_warc": warc.SQL,
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op9_chat_quotes": quote_links.SQL,
     "op10_line_dedup": line_dedup.SQL,
     "repeated_pages": warc.REPEATED_SQL,
+    "quoting_conversations": quote_links.QUOTING_SQL,
 }

@@ -520,6 +520,31 @@ def test_quotes_are_linked_and_removed(spark):
     assert got[3, 0].body == "" and got[None, 0].position == 1
 
 
+def test_wrapped_nested_and_partial_quotes_are_linked(spark):
+    long = "The first sentence of it goes on for a while. The second one is here, and a third follows! Is that all"
+    rows = [
+        (1, 0, "user", long), (1, 1, "assistant", "an answer\nof two lines"), (1, 2, "user", "> The first sentence of it goes\n> on for a while. The second one is\n> here, and a third follows! Is that all\nyes"),
+        (1, 3, "user", "> and a third follows!\n> Is that all\nno"), (1, 4, "user", ">> an answer\n>> of two lines\nwell"), (1, 5, "user", "> an answer\nfine"), (1, 6, "user", ">> of two lines\n>> an answer"),
+        (1, 7, "user", f"> {long}\nsame"), (1, 8, "user", f">> {long}\nlevel two alone"), (1, 9, "user", f"{'x' * 300} wrote:\n> fine\nbody"), (1, 10, "user", "> Is"), (1, 11, "user", "> THE SECOND ONE IS HERE, AND A THIRD FOLLOWS!\nok"),
+    ]
+    got = {r.turn: r for r in quote_links.reply_order(talk(spark, rows)).collect()}
+    assert {t: got[t].parent_turn for t in range(2, 12)} == {2: 0, 3: 0, 4: 1, 5: 1, 6: 1, 7: 0, 8: 7, 9: 5, 10: None, 11: 0}
+    assert got[9].body == "body" and got[8].max_level == 2 and got[8].n_linked == 1
+
+
+def test_a_unit_of_many_rows_is_carried_over_tasks(spark):
+    """One passage said and quoted in turn throughout a long conversation: each quote goes to the last time it was said."""
+    rows = [(1, i, "user", "> the same few words\nagain" if i % 3 == 2 else "the same few words" if i % 3 == 0 else "else") for i in range(400)]
+    got = quote_links.reply_order(talk(spark, rows)).collect()
+    assert all(r.parent_turn == (r.turn - 2 if r.turn % 3 == 2 else None) for r in got)
+
+
+def test_messages_of_great_length_and_depth(spark):
+    deep, long = ">" * 500 + " far down", "\n".join(f"line {i} of many words" for i in range(20_000))
+    got = {r.turn: r for r in quote_links.reply_order(talk(spark, [(1, 0, None, long), (1, 1, "user", deep), (1, 2, "user", "\n".join("> " + x for x in long.split("\n")))])).collect()}
+    assert got[1].max_level == 500 and got[2].parent_turn == 0 and got[2].body == "" and got[2].n_quoted == 20_000
+
+
 def test_quotation_links_are_native_and_take_no_rows(spark):
     rows = talk(spark, [(1, 0, "user", "a"), (1, 1, "user", "> a\nb")])
     assert quote_links.reply_order(rows.limit(0)).collect() == []
