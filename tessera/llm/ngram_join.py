@@ -29,7 +29,9 @@ CHUNK_DOCS, CHUNK_SHINGLES = 2048, 600_000
 #: A shingle in more of a chunk's documents than this travels as a count; its documents stay with the chunk.
 LOCAL_HOT = 16
 #: Documents of a part of a block; a task holds two parts.
-PART_DOCS = 1024
+PART_DOCS = 256
+#: Bytes of input, as it lies in files, whose shingles a hash range holds: with more input there are more ranges.
+RANGE_BYTES = 16 << 20
 MAX_MATCHES = 8
 #: Estimated cost of a verification, in entries of an inverted list.
 VERIFY_COST = 64
@@ -296,16 +298,25 @@ def _block(num: int, den: int):
     return run
 
 
+def _range_count(docs: DataFrame) -> int:
+    """Hash ranges to count in: a task of them never holds more however large the input is."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return min(max(partitions(docs.sparkSession), -(-size // RANGE_BYTES)), 1 << 24)
+
+
 def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, n_links, class_id.
 
     Documents link when their sets of k-word shingles have Jaccard >= num/den. Null or wordless text: an empty set,
     linked with nothing, its own component. class_id is the smallest doc_id with the same set, n_links the number of
     other documents linked with the row's. A null doc_id is never a component's smallest unless all are null; rows
-    that repeat a doc_id are documents like any others. No other column of docs is read, so names can't clash.
+    that repeat a doc_id are documents like any others; ids are taken as longs. Shingles are compared as hashes of 64 bits: of
+    n distinct shingles some two share one with odds of n * n / 2^65, and a link could only turn by as many elements. No other column of docs is read, so names can't clash.
     """
-    spark, count = docs.sparkSession, partitions(docs.sparkSession)
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_deal(k, count), _BIN)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    spark, count = docs.sparkSession, _range_count(docs)
+    dealt = docs.mapInArrow(_deal(k, count), _BIN)
     target = F.when(F.col("kind") == 0, F.xxhash64("target")).otherwise(F.col("target"))
     counted = dealt.withColumn("_at", target).repartition(count, "_at").drop("_at").mapInArrow(_count, _BIN)
     rows = materialize(counted.groupBy("chunk").applyInPandas(_order(num, den), DOCS), "ngram-docs")
