@@ -54,6 +54,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def uri(path: str) -> str:
+    """path for pyarrow's file systems."""
+    return path if "://" in path else "file://" + path.removeprefix("file:")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder, which outlives any executor."""
     spark = df.sparkSession

@@ -1,25 +1,28 @@
 """Benchmark decontamination by templates.
 
-Words become lower-case words or typed placeholders (numbers, names, units). Windows of WINDOW template words of the
-documents are hash-joined with those of the benchmark; a document and item that share enough windows are then checked
-for slot consistency: each slot value of the item must stand for one value throughout the document, so that a question
+Words become lower-case words or typed placeholders (numbers, names, units; a name is a word with a capital of any
+script). Windows of WINDOW template words of the documents are hash-joined with those of the benchmark, whose windows are
+held with placeholders and with plain names, so that a copy in lower case is found too; a document and item that share
+enough windows are then checked for slot consistency: each slot value of the item must stand for one value throughout the document, so that a question
 with other numbers or names is caught and a chance meeting of placeholders is not.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, span_hashes, table, text_slices, windows, word_bounds
+from tessera.llm.common import new_path, span_hashes, table, text_slices, uri, windows, word_bounds
 
 WINDOW, COVERAGE = 5, 0.5
-#: Characters of benchmark text that are joined in one broadcast; a larger benchmark goes in as many blocks.
+#: Characters of benchmark text that a task holds at once; a larger benchmark goes in as many blocks.
 BLOCK_CHARS = 8_000_000
 
 # Unit and number words that count as placeholders.
@@ -31,8 +34,14 @@ _PUNCT = np.zeros(256, bool)
 _PUNCT[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[0x30:0x3A] = True
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?:;"]] = True
+#: Whether a code point of two or three bytes is a capital, and its small letter if that has as many bytes.
+_BIG, _SMALL = np.zeros(0x10000, bool), np.arange(0x10000)
+for _c in [*range(0x80, 0xD800), *range(0xE000, 0x10000)]:
+    if chr(_c).isupper() or chr(_c).istitle():
+        _low = chr(_c).lower()
+        _BIG[_c] = True
+        if len(_low) == 1 and len(_low.encode()) == len(chr(_c).encode()):
+            _SMALL[_c] = ord(_low)
 NUM, NAME, UNIT = (np.uint64(x) for x in (0x11F3A5C97B2D4E61, 0x22E4B6D88C3F5A72, 0x33D5C7E99D4A6B83))
 
 
@@ -50,43 +59,49 @@ def _within(x: np.ndarray, table_: np.ndarray) -> np.ndarray:
     return table_[np.minimum(np.searchsorted(table_, x), len(table_) - 1)] == x
 
 
+def _lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """data with its capitals beyond ASCII as small letters, and where capitals of any script stood."""
+    big = np.zeros(len(data) + 1, bool)
+    big[:-1] = (data >= 65) & (data <= 90)
+    data = data.copy()
+    for size, lead in ((2, (data >= 0xC3) & (data <= 0xDF)), (3, (data >= 0xE0) & (data <= 0xEF))):
+        at = np.flatnonzero(lead)
+        at = at[at + size <= len(data)]
+        code = data[at].astype(np.int64) & (0x1F if size == 2 else 0x0F)
+        for k in range(1, size):
+            code = code << 6 | (data[at + k] & 0x3F)
+        up = _BIG[code]
+        at, low = at[up], _SMALL[code[up]]
+        big[at] = True
+        for k in range(size - 1, 0, -1):
+            data[at + k] = 0x80 | (low & 0x3F)
+            low = low >> 6
+        data[at] = (0xC0 if size == 2 else 0xE0) | low
+    return data, big
+
+
 def canonical(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template hash, value hash, text number) of each word that has more than punctuation."""
-    if len(data):
-        data = data.copy()
-        after = np.flatnonzero(data[:-1] == 0xC3) + 1
-        cap = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
-        big = np.zeros(len(data) + 1, bool)
-        big[cap - 1] = True
-        data[cap] += 0x20
-        big[:-1] |= (data >= 65) & (data <= 90)
+    data, big = _lowered(data)
     s, e, doc = word_bounds(data, off)
     if not len(s):
         z = np.zeros(0, np.uint64)
         return z, z, doc
-    last = data[e - 1]
     while (go := (s < e) & _PUNCT[data[np.minimum(s, len(data) - 1)]]).any():
         s = s + go
     while (go := (s < e) & _PUNCT[data[np.maximum(e - 1, 0)]]).any():
         e = e - go
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
-    opens = np.ones(len(s), bool)  # whether the word opens a text, line or sentence
-    opens[1:] = (doc[1:] != doc[:-1]) | _STOP[last[:-1]] | (lines[s[1:]] > lines[e[:-1]])
     keep = s < e
-    s, e, doc, opens = s[keep], e[keep], doc[keep], opens[keep]
+    s, e, doc = s[keep], e[keep], doc[keep]
     value = span_hashes(data, s, e)
     kind = value.copy()
-    kind[big[s] & ~opens] = NAME
+    kind[big[s]] = NAME
     kind[_within(value, _UNIT_HASHES)] = UNIT
     kind[(digits[e] > digits[s]) | _within(value, _NUMBER_HASHES)] = NUM
     return kind, value, doc
 
 
-def _is_slot(kind: np.ndarray) -> np.ndarray:
-    return (kind == NUM) | (kind == NAME) | (kind == UNIT)
-
-
 class Templates:
     """The windows of a block of items: hash, item number and place, by hash."""
 
@@ -99,10 +114,15 @@ class Templates:
             data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
             kind, value, doc = canonical(data, np.array([0, len(data)]))
             self.kind.append(kind), self.value.append(value)
+            plain = np.where(kind == NAME, value, kind)
             if 0 < len(kind) < WINDOW:
-                self.short[whole(kind)].append(number)
+                for form in {whole(kind), whole(plain)}:
+                    self.short[form].append(number)
             h, _, at = windows(kind, doc, WINDOW)
-            hashes.append(h), item.append(np.full(len(h), number)), place.append(at)
+            g, _, _ = windows(plain, doc, WINDOW)
+            hashes += [h, g[g != h]]
+            place += [at, at[g != h]]
+            item.append(np.full(len(h) + (g != h).sum(), number))
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hash = h[order]
@@ -129,12 +149,18 @@ def whole(kind: np.ndarray) -> int:
 
 
 def consistent(kind_i, value_i, kind_d, value_d, places: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Which matches (item place, text place) agree with the main reading of the item's slots, and whether that changes a value."""
+    """Which matches (item place, text place) agree with the main reading of the item's slots, and whether that changes a value.
+
+    A match counts for as many as stand at its distance from the item, so that rows of slots aren't read with a shift. A
+    window of slots alone, which any row of numbers or names meets, agrees only with its own values.
+    """
+    _, back, held = np.unique(at - places, return_inverse=True, return_counts=True)
+    weight = held[back].tolist()
     votes: dict[tuple[int, int], Counter] = defaultdict(Counter)
     slots = [[(int(kind_i[p + k]), int(value_i[p + k]), int(value_d[a + k])) for k in range(WINDOW) if kind_i[p + k] in (NUM, NAME, UNIT)] for p, a in zip(places, at)]
-    for found in slots:
+    for found, w in zip(slots, weight):
         for kind, mine, other in found:
-            votes[kind, mine][other] += 1
+            votes[kind, mine][other] += w
     reading: dict[tuple[int, int], int] = {}
     taken: set[tuple[int, int]] = set()
     for (kind, mine), c in sorted(votes.items(), key=lambda x: (-max(x[1].values()), x[0])):
@@ -143,7 +169,7 @@ def consistent(kind_i, value_i, kind_d, value_d, places: np.ndarray, at: np.ndar
                 reading[kind, mine] = other
                 taken.add((kind, other))
                 break
-    good = np.array([all(reading.get((k, m)) == o for k, m, o in found) for found in slots], bool)
+    good = np.array([all(reading.get((k, m)) == o for k, m, o in found) and (len(found) < WINDOW or all(m == o for _, m, o in found)) for found in slots], bool)
     return good, any(m != o for (_, m), o in reading.items())
 
 
@@ -209,8 +235,24 @@ def leaks_in(kind, value, doc, t: Templates, rows: int) -> Iterator[tuple[int, i
 SCHEMA = "doc_id long, item_id long, coverage double, n_windows long, reparametrised boolean"
 
 
-def _scan(t: Templates):
+_loaded: dict[str, Templates] = {}
+
+
+def _block(path: str) -> Templates:
+    """The templates of a written block, the last two kept by a worker process for its tasks."""
+    if path not in _loaded:
+        while len(_loaded) > 1:
+            _loaded.pop(next(iter(_loaded)))
+        fs, name = pafs.FileSystem.from_uri(path)
+        with fs.open_input_file(name) as f, pa.ipc.open_file(f) as items:
+            own = items.read_all()
+        _loaded[path] = Templates(list(zip(own["item_id"].to_pylist(), own["text"].to_pylist())))
+    return _loaded[path]
+
+
+def _scan(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _block(path)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for a, b, data, off in text_slices(batch.column(1)):
@@ -223,18 +265,42 @@ def _scan(t: Templates):
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of BLOCK_CHARS characters, so that what is broadcast stays bounded however large the benchmark is."""
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()
-    block, size = [], 0
-    for item_id, text in rows:
-        if block and size + len(text or "") > BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-        block.append((item_id, text))
-        size += len(text or "")
-    if block:
-        yield block
+def _blocks(benchmark: DataFrame) -> list[str]:
+    """The items written in blocks of about BLOCK_CHARS characters; the driver holds their paths alone, however large the benchmark is."""
+    rows, limit = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")), BLOCK_CHARS
+    folder = uri(new_path(rows.sparkSession, "benchmark"))
+    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        held, size, names = [], 0, []
+
+        def flush():
+            # a name that a second attempt of the task doesn't share: only blocks that are listed are read
+            name = f"{uuid.uuid4().hex}.arrow"
+            with fs.open_output_stream(f"{root}/{name}") as f, pa.ipc.new_file(f, held[0].schema) as out:
+                for part in held:
+                    out.write_batch(part)
+            names.append(f"{folder}/{name}")
+
+        for batch in batches:
+            for a in range(batch.num_rows):
+                one = batch.slice(a, 1)
+                n = len(one.column(1)[0].as_py() or "")
+                if held and size + n > limit:
+                    flush()
+                    held, size = [], 0
+                held.append(one)
+                size += n
+        if held:
+            flush()
+        yield pa.record_batch([pa.array(names, pa.string())], names=["path"])
+
+    if not total:
+        return []
+    parts = rows.where("text <> ''").repartition(-(-total // limit)).mapInArrow(write, "path string")
+    return [r.path for r in parts.toLocalIterator()]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -242,11 +308,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Items of fewer than WINDOW words match a document only if they are all of it. Null and empty texts hold nothing
     and are held by nothing; repeated rows of docs yield repeated rows; a null id stays null. Only doc_id and text,
-    item_id and text are read, so other columns can't clash. Documents are scanned where they lie: no shuffle.
+    item_id and text are read, so other columns can't clash; ids are taken as longs. Documents are scanned where they
+    lie, once for each block of the benchmark: no shuffle.
     """
     out = None
-    for block in _blocks(benchmark):
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(Templates(block)), SCHEMA)
+    for path in _blocks(benchmark):
+        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(path), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
 

@@ -1,8 +1,9 @@
 """Secret scan by assignment-aware lexing.
 
-Besides three base patterns, source and configuration syntax is lexed into pairs of names and expressions. Constants are
+Besides three base patterns, source and configuration syntax is lexed into pairs of names and expressions: assignments to
+names, subscripts and keys, of literals with or without quotes, in code, shell lines and comments. Constants are
 propagated: a name that stands for a literal, or for a sum of literals and names, carries the places of the literals to
-whatever it is assigned to. Literals are scored by how sensitive the names are that they reach, and by their own form.
+whatever it is assigned to, before or after it in the text. Literals are scored by how sensitive the names are that they reach, and by their own form.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ SENSITIVE = {
 _JOINED = {k.replace("_", "") for k in SENSITIVE}
 STEMS = tuple(sorted(s for s in _JOINED if not any(k != s and k in s for k in _JOINED)))
 SIGNS = re.compile(r"[^a-z0-9]+")
-PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|-+|changeme|change_me|example.*|sample.*|placeholder.*|dummy.*|your[_-].*|my[_-].*|none|null|nil|true|false|undefined|todo|tbd|test|password|passwd|secret|token|string|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|\$[a-z_]+|env\..*|os\.environ.*|process\.env.*)$")
+PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|-+|changeme|change_me|example.*|sample.*|placeholder.*|dummy.*|your[_-].*|my[_-][a-z_-]*|none|null|nil|true|false|undefined|todo|tbd|test|password|passwd|secret|token|string|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|\$[a-z_]+|env\..*|os\.environ.*|process\.env.*)$")
 THRESHOLD = 4.0
 
 TOKEN = re.compile(
@@ -49,6 +50,9 @@ TOKEN = re.compile(
     |(?P<other>.)""",
     re.VERBOSE,
 )
+#: A shell assignment, also several on a line; and a reference to a variable, which may be all of a quoted string.
+SHELL = re.compile(r"(?:^|(?<=[\s;&|]))(?P<name>[A-Za-z_]\w*)=(?P<value>\$\{\w+\}|[^\s\"'#;,(){}\[\]+&|]+)(?=[\s;&|]|$)", re.MULTILINE | re.ASCII)
+REFERENCE = re.compile(r"\$(?:\{(\w+)\}|(\w+))", re.ASCII)
 CONFIG = re.compile(r"^[ \t]*(?:export[ \t]+|set[ \t]+)?(?P<name>[A-Za-z_][\w.-]*)[ \t]*(?:=|:)[ \t]*(?P<value>[^\s\"'#;,(){}\[\]+][^\s\"'#;,(){}\[\]]*)[ \t]*(?:[#;][^\n]*)?$", re.MULTILINE | re.ASCII)
 
 
@@ -116,9 +120,15 @@ def form(value: Value) -> float:
     return min(n, 20) / 10 + (kinds - 1) * 0.5 + max(0.0, entropy - 2.5) * 0.5
 
 
-def lex(text: str) -> list[tuple[str, str, int, int]]:
-    """(kind, text, start, end) of the tokens that matter to assignments; comments and blanks are left out."""
-    return [(m.lastgroup, m[0], m.start(), m.end()) for m in TOKEN.finditer(text) if m.lastgroup not in ("space", "comment")]
+def lex(text: str, start: int = 0, end: int | None = None) -> tuple[list[tuple[str, str, int, int]], list[tuple[int, int]]]:
+    """(kind, text, start, end) of the tokens that matter to assignments, and the inner places of the comments."""
+    tokens, comments = [], []
+    for m in TOKEN.finditer(text, start, len(text) if end is None else end):
+        if m.lastgroup == "comment":
+            comments.append((m.start() + (2 if m[0][0] == "/" else 1), m.end()))
+        elif m.lastgroup != "space":
+            tokens.append((m.lastgroup, m[0], m.start(), m.end()))
+    return tokens, comments
 
 
 def _inner(raw: str, start: int, end: int) -> tuple[str, int, int]:
@@ -126,49 +136,99 @@ def _inner(raw: str, start: int, end: int) -> tuple[str, int, int]:
     return raw[q : len(raw) - q], start + q, end - q
 
 
-def pairs(text: str) -> Iterator[tuple[str, Value]]:
-    """(name, value) of every assignment, with constants propagated in the order of the text."""
-    tokens = lex(text)
-    known: dict[str, Value] = {}
+def _expression(tokens: list[tuple[str, str, int, int]], j: int) -> tuple[list[Value | str] | None, int]:
+    """The terms of the sum that begins at token j, literals and names, and the token after it; None if it is no such sum. Brackets around it or its terms don't matter."""
+    terms: list[Value | str] = []
+    depth, due = 0, True
+    while j < len(tokens):
+        kind, raw, a, b = tokens[j]
+        if raw == "(" and due:
+            depth += 1
+        elif kind == "line" and depth:
+            pass
+        elif kind == "string" and (due or tokens[j - 1][0] in ("string", "line")):  # strings side by side are one
+            inner, x, y = _inner(raw, a, b)
+            ref = REFERENCE.fullmatch(inner)
+            terms.append(ref[1] or ref[2] if ref else Value.literal(inner, x, y))
+            due = False
+        elif kind == "name" and due:
+            after = tokens[j + 1][1] if j + 1 < len(tokens) else ""
+            if after in ("(", "["):  # a call or a lookup stands for no constant
+                return None, j
+            terms.append(raw)
+            due = False
+        elif raw == "+" and not due:
+            due = True
+            if j + 1 < len(tokens) and tokens[j + 1][0] == "line":
+                j += 1
+        elif raw == ")" and depth and not due:
+            depth -= 1
+        else:
+            break
+        j += 1
+    return (terms if terms and not due and not depth else None), j
+
+
+def _assignments(text: str, tokens: list[tuple[str, str, int, int]]) -> Iterator[tuple[str, list[Value | str], bool]]:
+    """(name, terms, whether they are added to what the name holds) of the assignments among tokens."""
     i = 0
     while i < len(tokens) - 2:
         kind, raw, a, b = tokens[i]
-        op = tokens[i + 1]
+        if raw == "[" and i + 3 < len(tokens) and tokens[i + 1][0] == "string" and tokens[i + 2][1] == "]":  # a subscript
+            kind, raw, a, b = tokens[i + 1]
+            at = i + 3
+        else:
+            at = i + 1
         quoted = kind == "string"
+        op = tokens[at]
         if not (kind == "name" or quoted) or op[0] != "op" or op[1] not in ("=", ":=", "=>", ":", "+="):
             i += 1
             continue
-        name = _inner(raw, a, b)[0] if quoted else raw
-        j, value, ok = i + 2, None, False
+        j = at + 1
         if j + 1 < len(tokens) and op[1] == ":" and tokens[j][0] == "name" and tokens[j + 1][1] == "=":
             j += 2  # a type between name and value
-        while j < len(tokens):
-            k, r, x, y = tokens[j]
-            if k == "string":
-                own = Value.literal(*_inner(r, x, y))
-                value, ok = value + own if value else own, True
-            elif k == "name" and r in known:
-                value, ok = value + known[r] if value else known[r], True
-            else:
-                ok = False
-                break
-            j += 1
-            if j < len(tokens) and tokens[j][0] == "string" and tokens[j - 1][0] == "string":
-                continue  # strings side by side are one
-            if j < len(tokens) and tokens[j][1] == "+" and j + 1 < len(tokens):
-                j += 1
-                if tokens[j][0] == "line":
-                    j += 1
+        terms, end = _expression(tokens, j)
+        if terms is not None:
+            yield _inner(raw, a, b)[0] if quoted else raw, terms, op[1] == "+="
+        i = max(j, end) if terms is not None else at + 1
+
+
+def pairs(text: str) -> Iterator[tuple[str, Value]]:
+    """(name, value) of every assignment, with constants propagated in the order of the text; those that need a later name follow when it is known."""
+    known: dict[str, Value] = {}
+    waiting: dict[str, list[tuple[str, list[Value | str]]]] = {}
+
+    def settle(name: str, terms: list[Value | str], later: bool) -> Iterator[tuple[str, Value]]:
+        work = [(name, terms, later)]
+        while work:
+            name, terms, later = work.pop()
+            missing = next((t for t in terms if isinstance(t, str) and t not in known), None)
+            if missing is not None:
+                waiting.setdefault(missing, []).append((name, terms))
                 continue
-            break
-        if ok:
-            if op[1] == "+=" and name in known:
-                value = known[name] + value
-            known[name] = value
+            value = None
+            for t in terms:
+                own = known[t] if isinstance(t, str) else t
+                value = own if value is None else value + own
+            if not later or name not in known:
+                known[name] = value
             yield name, value
-        i += 2 if not ok else max(2, j - i)
-    for m in CONFIG.finditer(text):
-        yield m["name"], Value.literal(m["value"], m.start("value"), m.end("value"))
+            work += [(n, t, True) for n, t in waiting.pop(name, ())]
+
+    tokens, comments = lex(text)
+    for region in (tokens, *(lex(text, a, b)[0] for a, b in comments)):
+        for name, terms, more in _assignments(text, region):
+            if more and name in known:
+                terms = [known[name], *terms]
+            yield from settle(name, terms, False)
+    seen = set()
+    for pattern in (CONFIG, SHELL):
+        for m in pattern.finditer(text):
+            a, b = m.span("value")
+            if (a, b) not in seen:
+                seen.add((a, b))
+                ref = REFERENCE.fullmatch(m["value"])
+                yield from settle(m["name"], [ref[1] or ref[2] if ref else Value.literal(m["value"], a, b)], False)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -210,7 +270,7 @@ SCHEMA = "doc_id long, spans array<struct<kind: string, start: long, end: long>>
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id and spans (kind, start, end in code points, end exclusive).
 
-    Null and empty texts have no spans. A row depends on its own text only: ties, repeated rows and columns of other
+    Null and empty texts have no spans. Ids are taken as longs. A row depends on its own text only: ties, repeated rows and columns of other
     names need no care. Texts are scanned whole, each in memory once.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

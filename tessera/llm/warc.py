@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, new_path, partitions, skewed_left_join, table
+from tessera.llm.common import materialize, new_path, partitions, skewed_left_join, table, uri
 
 #: Compressed size at which a task begins its next archive; payloads of this many bytes are recorded once.
 ROLL_BYTES, REVISIT_BYTES = 32 << 20, 1000
@@ -272,7 +272,7 @@ _FIELDS = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.in
 
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = pafs.FileSystem.fromuri(folder)
         fs.create_dir(root, recursive=True)
         made, out, held = [], None, 0
         for batch in batches:
@@ -296,10 +296,6 @@ def _write(folder: str):
     return run
 
 
-def _uri(path: str) -> str:
-    return path if "://" in path else "file://" + path.removeprefix("file:")
-
-
 def write_archives(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) as archives in the shared folder; returns path, records, bytes.
 
@@ -313,7 +309,7 @@ def write_archives(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> Data
     tops = rows.where("sha is not null").groupBy("sha", "n").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("held")).where("held > 1 and top is not null")
     rows = skewed_left_join(rows, materialize(tops, "warc-tops"), ["sha", "n"], "held")
     rows = rows.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers"))
-    return materialize(rows.mapInArrow(_write(_uri(new_path(spark, "warc"))), "path string, records long, bytes long"), "warc-list")
+    return materialize(rows.mapInArrow(_write(uri(new_path(spark, "warc"))), "path string, records long, bytes long"), "warc-list")
 
 
 def read_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
@@ -322,7 +318,7 @@ def read_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                fs, name = pafs.FileSystem.from_uri(_uri(path))
+                fs, name = pafs.FileSystem.fromuri(uri(path))
                 rows, size = [], 0
                 with fs.open_input_file(name) as f:
                     for what, a, b, *rest in salvage(Source(f)):

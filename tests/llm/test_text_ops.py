@@ -48,12 +48,28 @@ def test_leaks_are_found_whole_and_reparametrised(spark):
     docs = [(1, f"{noise(300)}. {ITEM} {noise(300)}"), (2, f"{noise(50)}. {swapped}. {noise(5)}"), (3, noise(800)), (4, half + " " + noise(40)), (5, ITEM.lower()), (6, f"{noise(20)}. {mixed}")]
     bench = spark.createDataFrame([(9, ITEM, "z"), (10, noise(30), "z")], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(frame(spark, docs), bench).collect()}
-    assert {(1, 9), (2, 9)} <= set(got) <= {(1, 9), (2, 9), (5, 9), (6, 9)}
-    assert got[1, 9].coverage == 1.0 and not got[1, 9].reparametrised and got[2, 9].reparametrised
-    assert (6, 9) not in got or got[6, 9].coverage < got[2, 9].coverage  # one name for two readings isn't consistent
+    assert set(got) == {(1, 9), (2, 9), (5, 9), (6, 9)}
+    assert got[1, 9].coverage == got[2, 9].coverage == got[5, 9].coverage == 1.0 and not got[1, 9].reparametrised and got[2, 9].reparametrised and not got[5, 9].reparametrised
+    assert got[6, 9].coverage < 1.0  # one name for two readings isn't consistent: windows of the lesser reading don't count
     assert {r.doc_id for r in decontaminate.clean(frame(spark, docs), bench).collect()} == {i for i, _ in docs} - {d for d, _ in got}
 
 
+def test_names_of_any_script_and_at_the_head_are_slots(spark):
+    rng = random.Random(3)
+    noise = " ".join(rng.choices([f"tok{i}" for i in range(3000)], k=60))
+    items = [(1, "Άννα αγοράζει 12 μήλα και δίνει στον Πέτρο τα μισά πόσα μένουν στην Άννα τώρα"), (2, "Анна купила 12 яблок и отдала Петру половину сколько осталось у Анна теперь"), (3, "Anna buys 12 apples and gives Paul half of them so how many has Anna now"), (4, "Élan walks ten miles with Zoé on the long road that leads north then Élan rests")]
+    docs = [(1, items[0][1].replace("Άννα", "Ελένη").replace("Πέτρο", "Νίκο").replace("12", "90")), (2, items[1][1].replace("Анна", "Ольга").replace("Петру", "Ивану")), (3, f"{noise} {items[2][1].replace('Anna', 'Carla').replace('Paul', 'Zed')} {noise}"), (4, items[3][1].replace("Élan", "Ödön")), (5, items[0][1].lower()), (6, items[1][1].lower())]
+    got = {(r.doc_id, r.item_id): (r.coverage, r.reparametrised) for r in decontaminate.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): (1.0, True), (2, 2): (1.0, True), (3, 3): (1.0, True), (4, 4): (1.0, True), (5, 1): (1.0, False), (6, 2): (1.0, False)}
+
+
+def test_an_inconsistent_reading_counts_for_less_than_a_consistent_one(spark):
+    item = "Is 5 plus 6 plus 7 plus 8 plus 9 plus 4 plus 3 more than all of it"
+    docs = [(1, "Is 1 plus 1 plus 1 plus 1 plus 1 plus 1 plus 1 more than all of it"), (2, "Is 11 plus 12 plus 13 plus 14 plus 15 plus 16 plus 17 more than all of it")]
+    got = {r.doc_id: r.coverage for r in decontaminate.leaks(frame(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {2: 1.0}
+
+
 def test_repeated_parts_and_near_templates_hide_no_copy(spark):
     rng = random.Random(6)
     noise = lambda n: " ".join(rng.choices([f"tok{i}" for i in range(3000)], k=n))
@@ -354,7 +370,27 @@ def test_lexing_follows_names_and_constants():
     assert found('encryption_key: str = "9f8A7b6C5d4E"') == ["9f8A7b6C5d4E"]
     assert found('private_key_path = "/etc/ssl/k3y1.pem"') == [] and found('passphrase = "changeme"') == [] and found('pwd = os.environ["PWD"]') == []
     assert found("keep the passphrase: it is a word of prose") == [] and found('color = "aZ3kd9Qw77"') == []
-    assert found('# passphrase = "Zx91pQ77aa"') == []
+
+
+def test_lexing_of_subscripts_brackets_late_constants_shells_and_comments():
+    assert found('settings["db_pwd"] = "hunter2Xq9"') == ["hunter2Xq9"] and found("os.environ['DB_PASSPHRASE'] = 'Zx91pQ77aa'") == ["Zx91pQ77aa"]
+    assert found('db_pwd = ("hunter2Xq9")') == ["hunter2Xq9"] and found('db_pwd = (\n  "hunter2"\n  "Xq9Zk"\n)') == ["hunter2", "Xq9Zk"]
+    assert found('client_credential = part + rest\npart = "aZ3kd9Qw"\nrest = more\nmore = "77fGh2Lp"\n') == ["aZ3kd9Qw", "77fGh2Lp"]
+    assert found("MY=k8sZx91pQ7\nexport DB_PASSWORD_VALUE=$MY\n") == found("MY=k8sZx91pQ7; export DB_PASSWORD_VALUE=${MY}; run\n") == ["k8sZx91pQ7"]
+    assert found('part = "aZ3kd9Qw77"\nexport DB_PWD="$part"\n') == ["aZ3kd9Qw77"]
+    assert found('# old_pwd = "Zx91pQ77aa"\n// api_pwd: "Qx81pQ77bb"') == ["Zx91pQ77aa", "Qx81pQ77bb"]
+    assert found('db_pwd = "my-Zx91pQ77aa"') == ["my-Zx91pQ77aa"] and found('db_pwd = "my-secret-pass"') == []
+    assert found('db_pwd = part("aZ3kd9Qw77")\nx_pwd = part\npart = part\n') == [] and found("a = b\nb = a\ndb_pwd = a\n") == []
+    assert found('db_pwd = (("Zx91pQ77aa" + tail))\ntail = \'kk81\'') == ["Zx91pQ77aa", "kk81"]
+
+
+def test_lexing_takes_time_in_proportion():
+    import time
+
+    text = "".join(f"c{i}_pwd = c{i + 1}_pwd + d{i}\n" for i in range(20_000)) + 'c20000_pwd = "aZ3kd9Qw77"\n' + "((((" * 20_000 + "[" * 20_000
+    began = time.perf_counter()
+    secrets_scan.scan(text)
+    assert time.perf_counter() - began < 10
 
 
 def test_every_sensitive_name_is_lexed_and_long_sums_are_whole():
