@@ -301,7 +301,7 @@ def _block(num: int, den: int):
 def _range_count(docs: DataFrame) -> int:
     """Hash ranges to count in: a task of them never holds more however large the input is."""
     leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return min(max(partitions(docs.sparkSession), -(-size // RANGE_BYTES)), 1 << 24)
 
 
