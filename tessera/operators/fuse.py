@@ -89,5 +89,5 @@ def evidence(rows: DataFrame) -> DataFrame:
     """What a search returns, in the order of position."""
     ranks = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries("channel_ranks")), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": '), e["value"].cast("string"))), ", "), F.lit("}"))
     provenance = F.concat(F.col("doc_type"), F.lit(":"), F.col("doc_id"), F.lit("<-["), F.array_join("source_ids", ","), F.lit("];channels="), ranks)
-    extra = [c for c in ("semantic_score",) if c in rows.columns]
+    extra = [c for c in ("created_at", "semantic_score") if c in rows.columns]
     return rows.select("query_id", "user_id", "position", "doc_id", F.col("doc_type").alias("view"), "content", "ts_ms", F.round("score", 6).alias("score"), "source_ids", provenance.alias("provenance"), F.col("flags").alias("evidence_flags"), "channel_ranks", "total", *extra)

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
 
 
+class Stored(NamedTuple):
+    """An index kept between searches: terms (doc_id, .., dl, terms) and postings of the documents that are searched, and the global statistics: term_stats (term, df; a term may have several rows, which add up) and one row of n, avgdl."""
+
+    terms: DataFrame
+    postings: DataFrame
+    term_stats: DataFrame
+    corpus: DataFrame
+
+
 def indexed(docs: DataFrame) -> DataFrame:
     """docs with their index terms and length."""
     return docs.withColumn("terms", text.index_terms(F.col("content"))).withColumn("dl", F.size("terms").cast("long"))

@@ -97,3 +97,19 @@ def cursors(messages: DataFrame, config: Config) -> DataFrame:
 def changed_views(new: DataFrame, old: DataFrame) -> DataFrame:
     """Views whose content isn't stored yet under their id: what an upsert writes."""
     return new.join(old.select("view_id", "content_hash"), ["view_id", "content_hash"], "left_anti")
+
+
+def baseline_add(requests: DataFrame, ledger: DataFrame, now_iso: str) -> tuple[DataFrame, DataFrame]:
+    """The single-table baseline's add: requests (request_id, user_id, content, view, message_id, created_at, arrival), one message each, against its ledger (request_id, user_id, message_id).
+
+    Returns what each request is answered (message_id, idempotent) and the new rows of messages (id, user_id, view,
+    content, created_at, request_id, added_at). A key that is known, or came earlier in the batch, is answered with its
+    first message; its payload isn't compared. Without an id a message gets one from its key.
+    """
+    made = F.coalesce("message_id", F.substring(F.sha2(F.concat_ws("\0", "user_id", "request_id"), 256), 1, 32))
+    rows = requests.withColumn("_id", made).join(ledger.select("request_id", "user_id", F.col("message_id").alias("_known")), ["request_id", "user_id"], "left")
+    w = Window.partitionBy("request_id", "user_id").orderBy("arrival", "_id")
+    rows = rows.withColumn("_first", F.first("_id").over(w)).withColumn("idempotent", F.col("_known").isNotNull() | (F.row_number().over(w) > 1))
+    answers = rows.select("request_id", "user_id", "arrival", F.coalesce("_known", "_first").alias("message_id"), "idempotent")
+    new = rows.where("not idempotent").select(F.col("_id").alias("id"), "user_id", F.coalesce("view", F.lit("message")).alias("view"), "content", F.coalesce("created_at", F.lit(now_iso)).alias("created_at"), "request_id", F.lit(now_iso).alias("added_at"))
+    return answers, new

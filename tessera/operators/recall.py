@@ -44,23 +44,30 @@ def gain(tf, dl, avgdl):
     return tf * (K1 + 1) / (tf + K1 * ((1 - B) + B * dl / avgdl))
 
 
-def lexical(prepared: DataFrame, docs: DataFrame, config: Config, posts: DataFrame | None = None) -> DataFrame:
+def lexical(prepared: DataFrame, docs: DataFrame, config: Config, stored: index.Stored | None = None) -> DataFrame:
     """BM25 over any of the query's tokens. A token of several pieces (a date, a decimal) is a phrase of adjacent terms.
 
-    Queries meet postings on (user_id, term), so other users' postings are never read; only the statistics are global.
+    Queries meet postings on (user_id, term); only the statistics are global. With a stored index no text is read.
     """
-    terms = materialize(index.indexed(docs).select("doc_id", "user_id", "doc_type", "dl", "terms"), "terms")
-    posts = materialize(index.postings(terms), "postings") if posts is None else posts
+    if stored is None:
+        terms = materialize(index.indexed(docs).select("doc_id", "user_id", "doc_type", "dl", "terms"), "terms")
+        posts = materialize(index.postings(terms), "postings")
+    else:
+        terms, posts = stored.terms, stored.postings
     by_user = ["user_id"] if config.stats_scope == "user" else []
-    size = index.corpus_stats(terms, config.stats_scope)
+    own_stats = stored is None or bool(by_user)
+    size = index.corpus_stats(terms, config.stats_scope) if own_stats else stored.corpus
     asked = prepared.select("query_id", "user_id", F.explode("tokens").alias("token")).withColumn("parts", text.pieces(F.col("token")))
     single = asked.where("size(parts) = 1").select("query_id", "user_id", F.element_at("parts", 1).alias("term"))
     wanted = single.select("term").distinct()
-    stats = index.term_stats(posts.join(wanted, "term", "left_semi"), config.stats_scope)
+    if own_stats:
+        stats = index.term_stats(posts.join(wanted, "term", "left_semi"), config.stats_scope)
+    else:
+        stats = stored.term_stats.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     found = single.join(posts, ["user_id", "term"]).join(stats, [*by_user, "term"]).select("query_id", "user_id", "doc_id", "doc_type", "dl", "tf", "df")
     many = asked.where("size(parts) > 1").select("query_id", "user_id", "token", "parts")
     own = many.select("token", "parts").distinct()
-    # documents that have a phrase: by its first term, then checked in order
+    # documents that have a phrase: those with its first term, then checked in order; with a stored index its frequency is that among the searched buckets
     held = posts.select("doc_id", F.col("term").alias("head")).join(own.withColumn("head", F.element_at("parts", 1)), "head").select("doc_id", "token", "parts").join(terms, "doc_id")
     tf = F.expr("size(filter(sequence(1, greatest(1, size(terms) - size(parts) + 1)), i -> slice(terms, i, size(parts)) = parts))").cast("long")
     held = held.withColumn("tf", tf).where("tf > 0").select("doc_id", "user_id", "doc_type", "dl", "token", "tf")

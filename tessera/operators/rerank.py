@@ -32,11 +32,11 @@ def anchors(rows: DataFrame, bucket: str, quota: int) -> DataFrame:
 
 
 def reorder(rows: DataFrame, bucket: str, score: Column) -> DataFrame:
-    """rows with new_position: within a bucket the rows that aren't pinned take the unpinned places by score, ties by their place before."""
-    w = Window.partitionBy("query_id", bucket, "pinned")
-    places = F.sort_array(F.collect_list("position").over(w))
-    k = F.row_number().over(w.orderBy(F.desc(score), "position"))
-    return rows.withColumn("_places", places).withColumn("_k", k).withColumn("new_position", F.when(F.col("pinned"), F.col("position")).otherwise(F.element_at("_places", F.col("_k")))).drop("_places", "_k")
+    """rows with new_position: within a bucket the rows that aren't pinned take the unpinned places by score, ties by their place before. Two row numbers, of free places and of movable rows, are joined; no list is collected."""
+    w = Window.partitionBy("query_id", bucket)
+    free = rows.where("not pinned").select("query_id", bucket, F.col("position").alias("new_position"), F.row_number().over(w.orderBy("position")).alias("_k"))
+    moved = rows.where("not pinned").withColumn("_k", F.row_number().over(w.orderBy(F.desc(score), "position"))).join(free, ["query_id", bucket, "_k"]).drop("_k")
+    return moved.unionByName(rows.where("pinned").withColumn("new_position", F.col("position")))
 
 
 def usable(score: str = "model_score") -> Column:

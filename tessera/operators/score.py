@@ -31,11 +31,11 @@ def adjacent() -> F.Column:
     return (F.col("doc_type") == "message") & (near(F.lag("seq").over(w)) | near(F.lead("seq").over(w)))
 
 
-def full_score(candidates: DataFrame, config: Config, now: float | None = None) -> DataFrame:
-    """candidates: a prepared query's columns beside a document's (doc_id, doc_type, session_id, seq, role, content, ts_ms, source_ids) and its lexical score (fts_score or null). Adds epoch, score and flags, in the order that keeps float sums equal."""
+def full_score(candidates: DataFrame, config: Config) -> DataFrame:
+    """candidates: a prepared query's columns beside a document's (doc_id, doc_type, session_id, seq, role, content, ts_ms, source_ids) and its lexical score (fts_score or null). Adds epoch, score and flags, in the order that keeps float sums equal. The time of a document is ts_ms, else created_at if there is such a column; without either it has no recency."""
     w = Window.partitionBy(*QUERY)
     low = F.col("low")
-    rows = candidates.withColumn("low", text.normalize(F.col("content"))).withColumn("epoch", ids.epoch(F.col("ts_ms")))
+    rows = candidates.withColumn("low", text.normalize(F.col("content"))).withColumn("epoch", ids.epoch(F.col("ts_ms"), F.col("created_at") if "created_at" in candidates.columns else None))
     rows = rows.withColumn("_worst", F.max(F.abs(F.nullif("fts_score", F.lit(0.0)))).over(w)).withColumn("_min", F.min("epoch").over(w)).withColumn("_span", F.max("epoch").over(w) - F.min("epoch").over(w))
     rows = rows.withColumn("_adjacent", adjacent()).withColumn("_cover", F.when(F.size("tokens") > 0, text.hits(F.col("tokens"), low) / F.size("tokens"))).withColumn("_ents", text.hits(F.col("q_entities"), low))
     any_of = lambda c: F.exists(c, lambda v: F.contains(low, v))

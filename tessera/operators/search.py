@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.functions import text
-from tessera.operators import fuse, recall, rerank, score
+from tessera.operators import fuse, index, recall, rerank, score
 from tessera.operators.cut import materialize
 
 HYDRATED = ["doc_id", "doc_type", "session_id", "seq", "role", "content", "ts_ms", "source_ids"]
 
 
-def candidates(prepared: DataFrame, docs: DataFrame, config: Config, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, posts: DataFrame | None = None) -> DataFrame:
+def candidates(prepared: DataFrame, docs: DataFrame, config: Config, query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, stored: index.Stored | None = None) -> DataFrame:
     """The union of the channels, hydrated. Documents and prepared queries are written once: all channels and the hydration read them."""
     docs, prepared = materialize(docs, "documents"), materialize(prepared, "queries")
-    lexical = recall.lexical(prepared, docs, config, posts)
+    lexical = recall.lexical(prepared, docs, config, stored)
     if config.on("exact_scan"):
         messages = docs.where("doc_type = 'message'").withColumnRenamed("doc_id", "id")
         lexical = lexical.unionByName(recall.like_fallback(prepared, messages, lexical, config))
@@ -24,7 +24,7 @@ def candidates(prepared: DataFrame, docs: DataFrame, config: Config, query_vecto
     if config.on("vector") and query_vectors is not None and not (config.on("semantic_rerank") or config.on("pair_rerank")):
         channels["dense"] = recall.dense(query_vectors, vectors, config)
     found = fuse.union_channels(channels)
-    return found.join(prepared, "query_id").join(docs.select(*HYDRATED), "doc_id")
+    return found.join(prepared, "query_id").join(docs.select(*HYDRATED, *(c for c in ("created_at",) if c in docs.columns)), "doc_id")
 
 
 def ranked(prepared: DataFrame, docs: DataFrame, config: Config, **channels) -> DataFrame:
@@ -36,7 +36,7 @@ def ranked(prepared: DataFrame, docs: DataFrame, config: Config, **channels) ->
 
 
 def search(queries: DataFrame, docs: DataFrame, config: Config | None = None, model_score=None, **channels) -> DataFrame:
-    """Evidence rows for queries (query_id, user_id, query[, options, top_k]) over docs (views.documents). model_score: rows -> rows with model_score, for the reranks."""
+    """Evidence rows for queries (query_id, user_id, query[, options, top_k]) over docs (views.documents). channels: query_vectors and vectors, stored (an index kept between searches). model_score: rows -> rows with model_score, for the reranks."""
     config = (config or Config()).validate()
     rows = ranked(recall.prepare(queries, config), docs, config, **channels)
     if config.on("dedup"):

@@ -37,8 +37,11 @@ def windows(messages: DataFrame, config: Config) -> DataFrame:
 def affected_starts(sessions: DataFrame, size: int, overlap: int) -> DataFrame:
     """sessions (.., old_total, new_total) with the starts of the windows that an append touches."""
     step = max(1, size - overlap)
-    grown = sessions.where("new_total > 0").withColumn("start", F.explode(F.sequence(F.lit(0), F.floor((F.col("new_total") - 1) / F.lit(step))))).withColumn("start", F.col("start") * step)
-    return grown.where(F.col("start") + size > F.col("old_total"))
+    # from the first start whose window reaches beyond the old end
+    first = F.greatest(F.lit(0), F.floor((F.col("old_total") - size) / F.lit(step)) + 1)
+    last = F.floor((F.col("new_total") - 1) / F.lit(step))
+    grown = sessions.where("new_total > 0").withColumn("start", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>"))))
+    return grown.withColumn("start", F.col("start") * step)
 
 
 def segmented(messages: DataFrame, max_messages: int, max_gap_seconds: int) -> DataFrame:

@@ -122,6 +122,11 @@ S_PHRASE = r'[\x{201c}"]([^\x{201d}"]{1,64})[\x{201d}"]'
 S_ENTITY = r"\b(?:[A-Z][a-zA-Z0-9]{1,}|[A-Z]{2,})\b"
 
 
+def s_names(e: str) -> str:
+    """What S_ENTITY finds, where its word boundaries know all letters: whole words."""
+    return f"list_filter(string_split_regex({e}, '[^\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: regexp_full_match(x, '[A-Z][a-zA-Z0-9]+'))"
+
+
 def s_cjk(e: str, n: int) -> str:
     return f"flatten(list_transform(list_filter({sql_all(e, S_CJK)}, lambda r: length(r) >= {n}), lambda r: list_transform(generate_series(1, length(r) - {n - 1}), lambda i: substr(r, i, {n}))))"
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.config import Config, stage
+from tessera.config import Config
 from tessera.functions import embed, text
-from tessera.operators import fuse, index, lifecycle, recall, score, search, views
+from tessera.operators import experiments, fuse, index, lifecycle, recall, score, search, views
 from tessera.plans import corpora as c
 from tessera.plans.registry import query
 
@@ -102,16 +102,15 @@ def corpus_stats(spark, sf_dir):
 
 
 def chat_queries(spark, sf_dir, top_k: int = 10):
-    """The first eight words of the second turns of the first conversations, those in ASCII: SQL's word boundaries know no other letters."""
-    m = c.chat(spark, sf_dir).where("seq = 1 AND cast(session_id AS int) < 20").where(~F.col("content").rlike(r"[^\x00-\x7F]"))
-    words = F.array_join(F.slice(F.split("content", r"\s+"), 1, 8), " ")
-    return m.select(F.col("session_id").alias("query_id"), "user_id", words.alias("query"), F.lit(top_k).alias("top_k"))
+    """The messages of the conversations whose id is divisible by 50, whole, against all messages."""
+    m = c.chat(spark, sf_dir).where("cast(session_id AS bigint) % 50 = 0")
+    return m.select(F.concat_ws("-", "session_id", "seq").alias("query_id"), "user_id", F.col("content").alias("query"), F.lit(top_k).alias("top_k"))
 
 
-CHAT_QUERIES = "q AS (SELECT session_id AS query_id, user_id, array_to_string(string_split_regex(content, '\\s+')[1:8], ' ') AS query FROM m WHERE seq = 1 AND session_id::INT < 20 AND NOT regexp_matches(content, '[^\\x00-\\x7F]'))"
+CHAT_QUERIES = "q AS (SELECT session_id || '-' || seq AS query_id, user_id, content AS query FROM m WHERE session_id::BIGINT % 50 = 0)"
 Q_TOKENS = f"""qt0 AS (SELECT query_id, user_id, query, lower(query) AS q_low, list_filter(list_distinct({s_terms('query')}), lambda x: NOT list_contains({c.s_stop()}, x)) AS ts FROM q),
 qt1 AS (SELECT query_id, unnest(ts) AS t FROM qt0), qt2 AS (SELECT query_id, t, row_number() OVER (PARTITION BY query_id ORDER BY -length(t), t) AS n FROM qt1),
-qe0 AS (SELECT query_id, list_distinct(list_transform({c.sql_all('query', c.S_ENTITY)}, lambda x: lower(x))) AS es FROM q),
+qe0 AS (SELECT query_id, list_distinct(list_transform({c.s_names('query')}, lambda x: lower(x))) AS es FROM q),
 qt AS (SELECT qt0.query_id, user_id, query, q_low, list(t ORDER BY n) FILTER (WHERE n <= 64) AS ts, any_value(es) AS es FROM qt0 JOIN qt2 ON qt2.query_id = qt0.query_id JOIN qe0 ON qe0.query_id = qt0.query_id GROUP BY ALL)"""
 BM25 = """qx AS (SELECT query_id, user_id, unnest(ts) AS term FROM qt), st AS (SELECT count(*)::DOUBLE AS n, avg(len(terms)) AS avgdl FROM x), df AS (SELECT term, count(*)::DOUBLE AS df FROM p GROUP BY term),
 f0 AS (SELECT query_id, doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6::DOUBLE) * 2.2::DOUBLE / (1 + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM qx JOIN p USING (user_id, term) JOIN df USING (term), st GROUP BY query_id, doc_id),
@@ -128,7 +127,7 @@ def bm25_topk(spark, sf_dir):
     return rows.select("query_id", "doc_id", R6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-DOCUMENT_QUERIES = "SELECT item_id::VARCHAR AS query_id, 'all' AS user_id, array_to_string(string_split_regex(text, '\\s+')[1:6], ' ') AS query FROM benchmark"
+DOCUMENT_QUERIES = "SELECT item_id::VARCHAR AS query_id, 'all' AS user_id, text AS query FROM benchmark"
 
 
 @query(
@@ -139,10 +138,10 @@ f0 AS (SELECT query_id, doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f0 QUALIFY rank <= 20) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r""",
 )
 def bm25_documents(spark, sf_dir):
-    """Lexical search of all documents by the first words of the benchmark items."""
+    """Lexical search of all documents by the benchmark items, whole."""
     docs = c.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("all").alias("user_id"), F.lit("message").alias("doc_type"), F.col("text").alias("content"))
     b = c.table(spark, sf_dir, "benchmark")
-    q = b.select(F.col("item_id").cast("string").alias("query_id"), F.lit("all").alias("user_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 6), " ").alias("query"))
+    q = b.select(F.col("item_id").cast("string").alias("query_id"), F.lit("all").alias("user_id"), F.col("text").alias("query"))
     config = Config(max_candidates=20)
     return recall.lexical(recall.prepare(q, config), docs, config).select("query_id", "doc_id", R6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
@@ -196,11 +195,11 @@ def feature_recall(spark, sf_dir):
 
 @query(
     "dense_recall",
-    "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < 10 AND a.label = b.label), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 20) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r",
+    "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.label = b.label), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 20) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r",
 )
 def dense_recall(spark, sf_dir):
     e = c.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("user_id"), F.col("embedding").alias("vector"))
-    rows = recall.dense(e.where("vec_id < 10").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "doc_id"), Config(dense_max_candidates=20))
+    rows = recall.dense(e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "doc_id"), Config(dense_max_candidates=20))
     return rows.select("query_id", "doc_id", R6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -412,13 +411,11 @@ def search_dense(spark, sf_dir):
 
 @query("ablation_ladder")
 def ablation_ladder(spark, sf_dir):
-    """The search of the stages that differ most, as one table."""
-    out = None
-    for name in ("L0", "L4", "L5", "L9"):
-        config = stage(name, c.SHORT)
-        rows = search.search(chat_queries(spark, sf_dir, 5), c.chat_docs(spark, sf_dir, config), config).select(F.lit(name).alias("stage"), "query_id", F.col("position").cast("long").alias("position"), "doc_id", "score")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """All stages of the ladder over the chat corpus: the metrics of each query."""
+    from tessera.plans.lifecycle_queries import labelled
+
+    rows = experiments.ladder(c.chat(spark, sf_dir), labelled(spark, sf_dir), c.SHORT, ks=(5, 20), backend=embed.HashEmbedding(64))
+    return rows.select("stage", "query_id", "kind", "difficulty", "returned", *[F.round(x, 6).alias(x) for x in ("recall_5", "recall_20", "rr", "leak_10")])
 
 
 @query(

@@ -294,17 +294,18 @@ def vector_cache_lookup(spark, sf_dir):
 
 
 def labelled(spark, sf_dir):
-    """The chat queries with the message that they quote as gold, and its neighbours as distractors."""
+    """The chat queries with their own message as gold, and its neighbours as distractors."""
     m = c.chat(spark, sf_dir)
-    near = m.where("seq IN (0, 2)").groupBy("session_id").agg(F.sort_array(F.collect_list("id")).alias("distractors"))
-    gold = m.where("seq = 1").select("session_id", F.array("id").alias("gold"))
-    n = F.col("query_id").cast("int")
-    rows = eq.chat_queries(spark, sf_dir, 20).join(gold.withColumnRenamed("session_id", "query_id"), "query_id").join(near.withColumnRenamed("session_id", "query_id"), "query_id", "left")
-    return rows.withColumn("kind", F.when(n % 2 == 0, "single").otherwise("multi")).withColumn("difficulty", F.when(n % 3 == 0, "plain").otherwise("mixed")).withColumn("gold", F.when(n % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("gold")))
+    beside = m.select("session_id", F.explode(F.array(F.col("seq") - 1, F.col("seq") + 1)).alias("seq"), "id").groupBy("session_id", "seq").agg(F.sort_array(F.collect_list("id")).alias("distractors"))
+    gold = m.select("session_id", "seq", F.array("id").alias("gold")).join(beside, ["session_id", "seq"], "left")
+    gold = gold.withColumn("query_id", F.concat_ws("-", "session_id", "seq")).withColumn("n", F.floor(F.col("session_id").cast("long") / 50) + F.col("seq")).drop("session_id", "seq")
+    rows = eq.chat_queries(spark, sf_dir, 20).join(gold, "query_id")
+    return rows.withColumn("kind", F.when(F.col("n") % 2 == 0, "single").otherwise("multi")).withColumn("difficulty", F.when(F.col("n") % 3 == 0, "plain").otherwise("mixed")).withColumn("gold", F.when(F.col("n") % 7 == 0, F.array().cast("array<string>")).otherwise(F.col("gold"))).drop("n")
 
 
 LABELLED = f"""{eq.BASE}, {eq.FUSED}, {eq.DEDUP}, {eq.s_slots(20)},
-lb AS (SELECT q.query_id, CASE WHEN q.query_id::INT % 2 = 0 THEN 'single' ELSE 'multi' END AS kind, CASE WHEN q.query_id::INT % 3 = 0 THEN 'plain' ELSE 'mixed' END AS difficulty, q.query_id::INT % 7 <> 0 AS has, g.id AS gold, (SELECT list(id) FROM m n WHERE n.session_id = q.query_id AND n.seq IN (0, 2)) AS distractors FROM q JOIN m g ON g.session_id = q.query_id AND g.seq = 1),
+lb AS (SELECT q.query_id, CASE WHEN n % 2 = 0 THEN 'single' ELSE 'multi' END AS kind, CASE WHEN n % 3 = 0 THEN 'plain' ELSE 'mixed' END AS difficulty, n % 7 <> 0 AS has, gold, distractors FROM q JOIN (
+  SELECT g.session_id || '-' || g.seq AS query_id, g.session_id::BIGINT // 50 + g.seq AS n, g.id AS gold, (SELECT list(id) FROM m o WHERE o.session_id = g.session_id AND abs(o.seq - g.seq) = 1) AS distractors FROM m g) USING (query_id)),
 pq AS (SELECT lb.query_id, kind, difficulty, count(sl.place) AS returned,
   CASE WHEN any_value(has) THEN max(CASE WHEN list_contains(source_ids, gold) AND place <= 5 THEN 1 ELSE 0 END)::DOUBLE END AS recall_5, CASE WHEN any_value(has) THEN max(CASE WHEN list_contains(source_ids, gold) THEN 1 ELSE 0 END)::DOUBLE END AS recall_20,
   CASE WHEN any_value(has) THEN coalesce(1.0::DOUBLE / min(CASE WHEN list_contains(source_ids, gold) THEN place END), 0) END AS rr,
@@ -329,6 +330,19 @@ def metrics_cube(spark, sf_dir):
     return rows.select("level", "kind", "difficulty", "queries", "scored", *[F.round(x, 6).alias(x) for x in ("recall_5", "recall_20", "rr", "leak_10")])
 
 
+@query(
+    "baseline_add",
+    f"WITH {c.CHAT}, r AS (SELECT 'r' || session_id || '-' || (seq // 2) AS request_id, user_id, id, content, seq FROM m), f AS (SELECT *, first_value(id) OVER w AS message_id, row_number() OVER w AS n FROM r WINDOW w AS (PARTITION BY request_id, user_id ORDER BY seq)) SELECT request_id, user_id, seq, message_id, n > 1 AS idempotent FROM f",
+)
+def baseline_add(spark, sf_dir):
+    """Two messages a request key: the second is a replay of the first, whatever it says."""
+    m = c.chat(spark, sf_dir)
+    requests = m.select(F.concat(F.lit("r"), "session_id", F.lit("-"), F.floor(F.col("seq") / 2)).alias("request_id"), "user_id", "content", F.col("id").alias("message_id"), F.lit("message").alias("view"), F.lit(None).cast("string").alias("created_at"), F.col("seq").alias("arrival"), "seq")
+    empty = spark.createDataFrame([], "request_id string, user_id string, message_id string")
+    judged, _ = ingest.baseline_add(requests, empty, "2024-01-01T00:00:00+00:00")
+    return judged.select("request_id", "user_id", F.col("arrival").alias("seq"), "message_id", "idempotent")
+
+
 @query("latency_percentiles", "SELECT event_type, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, max(value) AS max FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
     rows = evaluate.latency(c.table(spark, sf_dir, "events"), "value", "event_type")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.config import Config
 from tessera.functions import ids
 from tessera.operators import ingest, views
+from tessera.operators.cut import folder
 
 STATE = "seg_index long, seg_start long, seg_count long, last_ts_ms long, next_seq long"
 SEGMENT = "user_id string, session_id string, id string, seq long, segment long, role string, content string, ts_ms long"
@@ -52,8 +53,7 @@ def segments_of(rows: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    return f"{where.rstrip('/')}/tessera-stream/{uuid.uuid4().hex}"
+    return f"{folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def replay(messages: DataFrame, config: Config, batches: int = 2) -> DataFrame:
