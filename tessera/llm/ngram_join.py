@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import components, materialize, mix, partitions, skewed_left_join, shingle_sets, table
 
 #: Rows (65 535 at most: they are numbered in 16 bits) and shingles of a chunk.
-CHUNK_DOCS, CHUNK_SHINGLES = 2048, 600_000
+CHUNK_DOCS, CHUNK_SHINGLES = 1024, 300_000
 #: A shingle in more of a chunk's documents than this travels as a count; its documents stay with the chunk.
 LOCAL_HOT = 16
 #: Documents of a part of a block; a task holds two parts.
@@ -119,6 +119,7 @@ def _deal(k: int, count: int):
                         number, ids, valid, sets, total = number + 1, [], [], [], 0
         if ids:
             yield _batch(chunk_rows(np.array(ids, np.int64), np.array(valid, bool), sets, number))
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return run
 
@@ -164,6 +165,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = []
     if out:
         yield _batch(out)
+    del tok, held, cold, df, out
+    pa.default_memory_pool().release_unused()
 
 
 def _order(num: int, den: int):
