@@ -272,7 +272,7 @@ _FIELDS = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.in
 
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.fromuri(folder)
+        fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         made, out, held = [], None, 0
         for batch in batches:
@@ -318,7 +318,7 @@ def read_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                fs, name = pafs.FileSystem.fromuri(uri(path))
+                fs, name = pafs.FileSystem.from_uri(uri(path))
                 rows, size = [], 0
                 with fs.open_input_file(name) as f:
                     for what, a, b, *rest in salvage(Source(f)):
