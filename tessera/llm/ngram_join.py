@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import components, materialize, mix, partitions, skewed_left_join, shingle_sets, table
 
 #: Rows (65 535 at most: they are numbered in 16 bits) and shingles of a chunk.
-CHUNK_DOCS, CHUNK_SHINGLES = 1024, 300_000
+CHUNK_DOCS, CHUNK_SHINGLES = 1536, 450_000
 #: A shingle in more of a chunk's documents than this travels as a count; its documents stay with the chunk.
 LOCAL_HOT = 16
 #: Documents of a part of a block; a task holds two parts.
