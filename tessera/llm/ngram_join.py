@@ -305,6 +305,8 @@ def _range_count(docs: DataFrame) -> int:
     """Hash ranges to count in: a task of them never holds more however large the input is."""
     leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= int(docs._jdf.sparkSession().sessionState().conf().defaultSizeInBytes()):  # of rows that lie in no file: unknown
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return min(max(partitions(docs.sparkSession), -(-size // RANGE_BYTES)), 1 << 24)
 
 
