@@ -7,13 +7,15 @@
 3. A chunk puts each document's shingles in the global order (document frequency, hash). A document with fewer shared
    shingles than any partner must share with it has no partner and leaves; that is nearly every document.
 4. Documents whose prefixes share a shingle fall into one block: stars about each shingle's smallest document, then
-   connected components. A large block is dealt to tasks as pairs of parts.
+   connected components. A large block is cut into bands of set sizes, and these into parts; tasks compare pairs of
+   parts of the same or adjacent bands.
 5. Within a block each document's prefix is lengthened by l - 1 for the l of least estimated cost; a pair is verified
    after min(l, l') shared prefix shingles. Tasks return a row per document: its links and a spanning star.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,8 @@ from tessera.llm.common import components, materialize, mix, partitions, skewed_
 CHUNK_DOCS, CHUNK_SHINGLES = 1536, 450_000
 #: A shingle in more of a chunk's documents than this travels as a count; its documents stay with the chunk.
 LOCAL_HOT = 16
-#: Documents of a part of a block; a task holds two parts.
-PART_DOCS = 256
+#: Documents and shingles of a part of a block, where it has several documents; a task holds two parts.
+PART_DOCS, PART_SHINGLES = 256, 1 << 20
 #: Bytes of input, as it lies in files, whose shingles a hash range holds: with more input there are more ranges.
 RANGE_BYTES = 16 << 20
 MAX_MATCHES = 8
@@ -301,6 +303,27 @@ def _block(num: int, den: int):
     return run
 
 
+def _tasks(blocks: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """(cls, block, part, lo, hi): the parts of each block, and the pairs of parts that tasks compare.
+
+    A block of more than one part is cut into bands of set sizes: linked sets differ in size by den/num at most, so
+    they lie in one band or in adjacent ones, and only parts of such bands meet. A part is bounded in documents and,
+    as the sets of a band are alike in size, in shingles.
+    """
+    width = max(math.log(den / num) * 1.0001, 1e-6)  # a little wide, so that rounding parts no linked sets by two bands
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(PART_DOCS)), F.ceil(F.sum("n") / F.lit(PART_SHINGLES))).cast("long")
+    sized = blocks.join(reps.selectExpr("cls as node", "n"), "node")
+    whole = sized.groupBy("component").agg(parts.alias("whole"))
+    band = F.when(F.col("whole") == 1, F.lit(0)).otherwise(F.floor(F.log("n") / F.lit(width))).cast("long")
+    banded = materialize(sized.join(whole, "component").select("component", "node", "n", band.alias("band")), "ngram-bands")
+    own = banded.groupBy("component", "band").agg(parts.alias("parts"))
+    met = own.select("component", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"), F.col("band").alias("other"), F.col("parts").alias("others"))
+    placed = banded.join(own, ["component", "band"]).withColumn("part", F.expr("shiftleft(band, 32) + pmod(xxhash64(node), parts)"))
+    pairs = F.expr("transform(sequence(0L, others - 1), q -> shiftleft(other, 32) + q)")
+    tasks = placed.join(met, ["component", "band"]).withColumn("with", F.explode(pairs))
+    return tasks.select(F.col("node").alias("cls"), F.col("component").alias("block"), "part", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
+
+
 def _range_count(docs: DataFrame) -> int:
     """Hash ranges to count in: a task of them never holds more however large the input is."""
     leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
@@ -334,12 +357,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100)
     hubs = postings.groupBy("token").agg(F.min("cls").alias("hub"), F.count(F.lit(1)).alias("held")).where("held > 1")
     stars = postings.join(hubs, "token").where("cls <> hub").selectExpr("cls as a", "hub as b").distinct()
     blocks = components(stars, "ngram-blocks")
-    # large blocks go to tasks as pairs of parts
-    size = blocks.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_DOCS)).cast("int").alias("parts"))
-    placed = blocks.join(size, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    pairs = F.expr("transform(sequence(0, parts - 1), p -> struct(least(p, part) as lo, greatest(p, part) as hi))")
-    tasks = placed.withColumn("pair", F.explode(pairs)).select(F.col("node").alias("cls"), F.col("component").alias("block"), "part", "pair.lo", "pair.hi")
-    done = tasks.join(reps, "cls").groupBy("block", "lo", "hi").applyInPandas(_block(num, den), "cls long, root long, links long")
+    done = _tasks(blocks, reps, num, den).join(reps, "cls").groupBy("block", "lo", "hi").applyInPandas(_block(num, den), "cls long, root long, links long")
     done = materialize(done, "ngram-links")
     linked = done.groupBy("cls").agg(F.sum("links").alias("links"))
     joined = components(done.where("cls <> root").selectExpr("cls as a", "root as b"), "ngram-components")

@@ -163,6 +163,17 @@ def test_ngram_join_splits_blocks_and_chunks(spark, monkeypatch):
     assert (total == links).all()
 
 
+@pytest.mark.parametrize("num, den", [(80, 100), (50, 100), (100, 100)])
+def test_ngram_join_in_bands_of_sizes_loses_no_link(spark, monkeypatch, num, den):
+    """One block of many sizes, cut into parts of three documents or sixty shingles."""
+    monkeypatch.setattr(ngram_join, "PART_DOCS", 3)
+    monkeypatch.setattr(ngram_join, "PART_SHINGLES", 60)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[: 4 + i])) for i in range(50)] + [(100 + i, " ".join([*words[: 5 + 3 * i], f"own{i}"])) for i in range(15)] + [(200, " ".join(words[:30])), (201, "w1 w2 w3")]
+    got = ngram_join.jaccard_classes(frame(spark, rows), 3, num, den)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got.collect()) == brute(rows, 3, num, den)
+
+
 def test_components_on_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(30)] + [(500, 500)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
