@@ -312,15 +312,18 @@ def _tasks(blocks: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """
     width = max(math.log(den / num) * 1.0001, 1e-6)  # a little wide, so that rounding parts no linked sets by two bands
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(PART_DOCS)), F.ceil(F.sum("n") / F.lit(PART_SHINGLES))).cast("long")
+    held = F.count(F.lit(1)).alias("held")
     sized = blocks.join(reps.selectExpr("cls as node", "n"), "node")
-    whole = sized.groupBy("component").agg(parts.alias("whole"))
+    whole = materialize(sized.groupBy("component").agg(parts.alias("whole"), held), "ngram-whole")
     band = F.when(F.col("whole") == 1, F.lit(0)).otherwise(F.floor(F.log("n") / F.lit(width))).cast("long")
-    banded = materialize(sized.join(whole, "component").select("component", "node", "n", band.alias("band")), "ngram-bands")
-    own = banded.groupBy("component", "band").agg(parts.alias("parts"))
-    met = own.select("component", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"), F.col("band").alias("other"), F.col("parts").alias("others"))
-    placed = banded.join(own, ["component", "band"]).withColumn("part", F.expr("shiftleft(band, 32) + pmod(xxhash64(node), parts)"))
-    pairs = F.expr("transform(sequence(0L, others - 1), q -> shiftleft(other, 32) + q)")
-    tasks = placed.join(met, ["component", "band"]).withColumn("with", F.explode(pairs))
+    banded = materialize(skewed_left_join(sized, whole, ["component"], "held").select("component", "node", "n", band.alias("band")), "ngram-bands")
+    key = ["component", "band"]
+    own = banded.groupBy(*key).agg(parts.alias("parts"), held)
+    near = own.select("component", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"), F.struct(F.col("band").alias("other"), F.col("parts").alias("others")).alias("x"))
+    met = near.groupBy(*key).agg(F.collect_list("x").alias("met"))  # three at most
+    placed = skewed_left_join(banded, materialize(own.join(met, key), "ngram-parts"), key, "held").withColumn("part", F.expr("shiftleft(band, 32) + pmod(xxhash64(node), parts)"))
+    pairs = F.expr("flatten(transform(met, x -> transform(sequence(0L, x.others - 1), q -> shiftleft(x.other, 32) + q)))")
+    tasks = placed.withColumn("with", F.explode(pairs))
     return tasks.select(F.col("node").alias("cls"), F.col("component").alias("block"), "part", F.least("part", "with").alias("lo"), F.greatest("part", "with").alias("hi"))
 
 
