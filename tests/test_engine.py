@@ -469,3 +469,11 @@ def test_requests_from_json(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text("\n".join(p for p, _ in ADDS) + "\n")
     good, bad = tables.read_requests(spark, f"{tmp_path}/r.jsonl")
     assert good.count() == sum(e is None for _, e in ADDS) and sorted(r.error for r in bad.collect()) == sorted(e for _, e in ADDS if e)
+
+
+def test_scores_that_differ_in_their_last_bits_are_ties(spark):
+    rows = [("q", "a", 0.3, "x"), ("q", "b", 0.1 + 0.2, "x"), ("q", "c", 0.4, "x")]  # b is larger than a by one bit
+    df = spark.createDataFrame(rows, "query_id string, doc_id string, score double, content string").withColumn("feature_rank", F.lit(1)).withColumn("doc_type", F.lit("message")).withColumn("k", F.lit(3))
+    assert order(fuse.in_order(df)) == ["c", "a", "b"]
+    assert [r.doc_id for r in fuse.rerank_features(df).orderBy("feature_rank").collect()] == ["c", "a", "b"]
+    assert order(fuse.slots(df, Config())) == ["c", "a", "b"]
