@@ -477,3 +477,22 @@ def test_scores_that_differ_in_their_last_bits_are_ties(spark):
     assert order(fuse.in_order(df)) == ["c", "a", "b"]
     assert [r.doc_id for r in fuse.rerank_features(df).orderBy("feature_rank").collect()] == ["c", "a", "b"]
     assert order(fuse.slots(df, Config())) == ["c", "a", "b"]
+
+
+def test_pair_rrf_keeps_ties_of_fused_ranks(spark):
+    """Places 3 and 5 with model ranks 18 and 10: equal as fractions, the second larger by one bit."""
+    ranks = [r for r in range(1, 51) if r not in (18, 10)]
+    ranks = [*ranks[:2], 18, ranks[2], 10, *ranks[3:]]
+    assert 0.75 / 63 + 0.25 / 78 < 0.75 / 65 + 0.25 / 70
+    got = order(rerank.pair(records(spark, [float(50 - r) for r in ranks]), pool=50, mode="rrf"))
+    assert got.index("r2") < got.index("r4")
+
+
+def test_cache_with_a_text_twice_keeps_one_row_a_document(spark):
+    import hashlib
+
+    key = hashlib.sha256(b"same").hexdigest()
+    docs = spark.createDataFrame([("a", "same"), ("b", "same"), ("c", "other")], "doc_id string, content string")
+    cache = spark.createDataFrame([(key, "m", 2, [1.0, 0.0]), (key, "m", 2, [0.0, 1.0]), (key, "m", 2, [float("nan"), 0.0])], "content_hash string, model_hash string, dimension int, vector array<float>")
+    got = sorted((r.doc_id, r.from_cache, r.vector) for r in index.cached_vectors(docs, cache, "m", 2).collect())
+    assert got == [("a", True, [0.0, 1.0]), ("b", True, [0.0, 1.0]), ("c", False, None)]
