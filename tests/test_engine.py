@@ -496,3 +496,49 @@ def test_cache_with_a_text_twice_keeps_one_row_a_document(spark):
     cache = spark.createDataFrame([(key, "m", 2, [1.0, 0.0]), (key, "m", 2, [0.0, 1.0]), (key, "m", 2, [float("nan"), 0.0])], "content_hash string, model_hash string, dimension int, vector array<float>")
     got = sorted((r.doc_id, r.from_cache, r.vector) for r in index.cached_vectors(docs, cache, "m", 2).collect())
     assert got == [("a", True, [0.0, 1.0]), ("b", True, [0.0, 1.0]), ("c", False, None)]
+
+
+def test_blocks_of_queries_and_documents_lose_no_pair(spark, monkeypatch):
+    from tessera.operators import blocks
+
+    rng = random.Random(5)
+    words = ["car", "cart", "red", "2024-01-02", "1,200.5", "预算", "Rome", "x1", "sca", "rt r"]
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(f"u{i % 3}", "s", i, "user", said(rng.randint(0, 12)), i) for i in range(150)]
+    queries = [(f"u{rng.randint(0, 3)}", said(rng.randint(1, 4)), 5) for _ in range(60)]
+    docs, config = docs_of(spark, rows, Config(max_candidates=30)), Config(max_candidates=30, feature_scan_limit=2**31 - 1)
+    prepared = recall.prepare(ask(spark, *queries), config)
+    held, asked = docs.collect(), prepared.collect()
+    found = {}
+    for name, size, weight in (("one", 512, 6_000_000), ("many", 4, 900)):
+        monkeypatch.setattr(blocks, "QUERIES", size)
+        monkeypatch.setattr(blocks, "WEIGHT", weight)
+        found[name] = {(r.query_id, r.doc_id): r.score for r in recall.features(prepared, docs, config).collect()}
+        found["bm25 " + name] = {(r.query_id, r.doc_id): round(r.score, 9) for r in recall.lexical(prepared, docs, config).collect()}
+    want = {}
+    for q in asked:
+        own = []
+        for d in held:
+            if d.user_id == q.user_id:
+                low = d.content.lower()
+                hits = lambda values: sum(v in low for v in values)  # noqa: B023, E731
+                s = (120.0 if len(q.r_low) >= 4 and q.r_low in low else 0.0) + (40.0 * hits(q.tokens) / len(q.tokens) if q.tokens else 0.0) + 45.0 * hits(q.r_dates) + 25.0 * hits(q.r_numbers) + min(12.0 * hits(q.r_entities), 60.0)
+                own.append((-s, d.doc_id))
+        want |= {(q.query_id, i): -s for s, i in sorted(own)[:30] if s < 0}
+    assert want and found["one"] == want and found["many"] == want
+    assert found["bm25 one"] and found["bm25 one"] == found["bm25 many"]
+
+
+def test_contained_values():
+    from tessera.operators.blocks import contained
+
+    values = ["ab", "b", "", "a-b", "预", "z" * 60, "1"]
+    texts = ["cab a-b", "预算 1b", "", "z" * 70, "a b"]
+    assert contained(texts, values).tolist() == [[int(v in t) for t in texts] for v in values]
+
+
+def test_dedup_in_several_groups(spark, monkeypatch):
+    rows = [(str(q), p, f"d{p}", kind, said, sources) for q in range(20) for p, kind, said, sources in [(1, "window", "a", ["x", "y"]), (2, "window", "b", ["y"]), (3, "message", "b", ["y"]), (4, "message", "a", ["z"]), (5, "window", "c", [])]]
+    df = spark.createDataFrame(rows, "query_id string, position int, doc_id string, doc_type string, content string, source_ids array<string>")
+    monkeypatch.setattr(fuse, "FOLDED", 10)
+    assert sorted((r.query_id, r.position) for r in fuse.dedup(df).collect()) == sorted((str(q), p) for q in range(20) for p in (1, 3))
