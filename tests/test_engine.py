@@ -542,3 +542,19 @@ def test_dedup_in_several_groups(spark, monkeypatch):
     df = spark.createDataFrame(rows, "query_id string, position int, doc_id string, doc_type string, content string, source_ids array<string>")
     monkeypatch.setattr(fuse, "FOLDED", 10)
     assert sorted((r.query_id, r.position) for r in fuse.dedup(df).collect()) == sorted((str(q), p) for q in range(20) for p in (1, 3))
+
+
+def test_all_cosines_and_the_best_with_negative_ones(spark, monkeypatch):
+    from tessera.operators import blocks
+
+    monkeypatch.setattr(blocks, "WEIGHT", 300)
+    rows = [(i, i % 2, [float(i % 5 - 2), 1.0, float(-i)]) for i in range(30)] + [(30, 0, [0.0, 0.0, 0.0]), (31, 1, [1.0]), (32, 1, None)]
+    v = spark.createDataFrame(rows, "doc_id long, user_id int, vector array<float>")
+    q = v.where("doc_id in (3, 4, 30)").withColumnRenamed("doc_id", "query_id")
+    pairs = q.join(v.withColumnRenamed("vector", "stored"), "user_id").where("size(vector) = size(stored)")
+    want = {(r.query_id, r.doc_id): r.s for r in pairs.select("query_id", "doc_id", F.round(ids.cosine(F.col("vector"), F.col("stored")), 9).alias("s")).collect()}
+    assert min(want.values()) < 0
+    got = {(r.query_id, r.doc_id): r.s for r in recall.similarities(q, v, None).select("query_id", "doc_id", F.round("score", 9).alias("s")).collect()}
+    assert got == pytest.approx(want, abs=2e-9)
+    first = [(r.query_id, r.doc_id) for r in recall.dense(q, v, Config(dense_max_candidates=4)).orderBy("query_id", "rank").collect()]
+    assert first == [(x, i) for x in (3, 4, 30) for s, i in sorted((-s, i) for (y, i), s in want.items() if y == x)[:4]]
