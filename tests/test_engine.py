@@ -558,3 +558,21 @@ def test_all_cosines_and_the_best_with_negative_ones(spark, monkeypatch):
     assert got == pytest.approx(want, abs=2e-9)
     first = [(r.query_id, r.doc_id) for r in recall.dense(q, v, Config(dense_max_candidates=4)).orderBy("query_id", "rank").collect()]
     assert first == [(x, i) for x in (3, 4, 30) for s, i in sorted((-s, i) for (y, i), s in want.items() if y == x)[:4]]
+
+
+def test_baseline_search_over_blocks_counts_all_hits(spark, monkeypatch):
+    from tessera.operators import blocks
+
+    monkeypatch.setattr(blocks, "QUERIES", 2)
+    monkeypatch.setattr(blocks, "WEIGHT", 400)
+    rng = random.Random(6)
+    said = lambda n: " ".join(rng.choice(["red", "car", "cart", "预算", "x1"]) for _ in range(n))
+    m = spark.createDataFrame([(f"m{i}", f"u{i % 2}", "message", said(rng.randint(0, 5))) for i in range(60)], "id string, user_id string, view string, content string")
+    q = spark.createDataFrame([(str(i), f"u{i % 2}", "message", said(rng.randint(1, 3)), 3) for i in range(8)] + [("none", "u0", "other", "red", 3)], "query_id string, user_id string, view string, query string, top_k int")
+    tokens = lambda rows, key, c: {r[key]: set(r.t) for r in rows.select(key, text.baseline_tokens(F.col(c)).alias("t")).collect()}
+    of_q, of_m, want = tokens(q, "query_id", "query"), tokens(m, "id", "content"), {}
+    for a in q.collect():
+        own = [(1000 * (a.query in b.content) + 10 * sum(t in b.content for t in of_q[a.query_id]), len(b.content), b.id) for b in m.collect() if (a.user_id, a.view) == (b.user_id, b.view) and of_q[a.query_id] & of_m[b.id]]
+        for p, (s, _, i) in enumerate(sorted(own, key=lambda x: (-x[0], x[1:]))[:3]):
+            want[a.query_id, i] = (s, p + 1, len(own))
+    assert {(r.query_id, r.doc_id): (r.score, r.position, r.total) for r in recall.baseline_search(q, m).collect()} == want
