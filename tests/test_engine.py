@@ -576,3 +576,8 @@ def test_baseline_search_over_blocks_counts_all_hits(spark, monkeypatch):
         for p, (s, _, i) in enumerate(sorted(own, key=lambda x: (-x[0], x[1:]))[:3]):
             want[a.query_id, i] = (s, p + 1, len(own))
     assert {(r.query_id, r.doc_id): (r.score, r.position, r.total) for r in recall.baseline_search(q, m).collect()} == want
+
+
+def test_segments_sort_a_session_once(spark):
+    plan = views.segmented(messages(spark, session(9)), 4, 1800)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_island" not in plan and len({line.split("[")[-1] for line in plan.splitlines() if line.strip(" +-:").startswith("Window")}) == 1
