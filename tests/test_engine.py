@@ -581,3 +581,30 @@ def test_baseline_search_over_blocks_counts_all_hits(spark, monkeypatch):
 def test_segments_sort_a_session_once(spark):
     plan = views.segmented(messages(spark, session(9)), 4, 1800)._jdf.queryExecution().optimizedPlan().toString()
     assert "_island" not in plan and len({line.split("[")[-1] for line in plan.splitlines() if line.strip(" +-:").startswith("Window")}) == 1
+
+
+@pytest.mark.parametrize("name", ["all", "stage", "no rrf", "no views"])
+def test_search_in_one_block_equals_search_by_rows_and_writes_no_candidates(spark, monkeypatch, name):
+    from tessera.operators import blocks, cut
+
+    config = {
+        "all": Config(segment_max_messages=3, max_candidates=25).with_flags(temporal_intent=True, preference_role_boost=True),
+        "stage": stage("L4", Config(feature_scan_limit=20)),
+        "no rrf": Config(max_candidates=12, supersession_max_pairs=9).with_flags(rrf=False, temporal_intent=True, supersession_update_guard=False, preference_role_boost=True),
+        "no views": Config(stats_scope="user").with_flags(views=False, rrf=False, dedup=False, temporal_intent=True, preference_role_boost=True),
+    }[name]
+    rng = random.Random(9)
+    words = ["Apollo", "budget", "quota", "is now", "was", "changed to", "100", "2,000", "2024-01-02", "I prefer", "red", "预算", "我喜欢", '"green tea"', "no longer"]
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n)) if n else None
+    rows = [(f"u{i % 4}", rng.choice(["s", "t", None]), i // 4, rng.choice(["user", "assistant"]), said(rng.randint(0, 9)), rng.choice([None, 10**6 * i])) for i in range(160)]
+    asked = ["what is the current Apollo budget amount", "when was the latest quota changed to 100", 'recommend "green tea" for me', "预算", "Apollo budget 2024-01-02 now 2,000", "red zebra"]
+    docs, q = docs_of(spark, rows, config), ask(spark, *[(f"u{u}", t, k) for u in range(5) for t, k in zip(asked, (3, 10, 5, 100, 20, 7))])
+    written, put = [], cut.materialize
+    for module in (search, fuse, score, recall, blocks):
+        monkeypatch.setattr(module, "materialize", lambda df, what: (written.append(what), put(df, what))[1])
+    one = search.search(q, docs, config).orderBy("query_id", "position").collect()
+    assert one and not {"scored", "ranked", "pool"} & set(written)
+    monkeypatch.setattr(blocks, "WEIGHT", 900)
+    many = search.search(q, docs, config).orderBy("query_id", "position").collect()
+    assert "ranked" in written or name == "no views"
+    assert [r.asDict() for r in one] == [r.asDict() for r in many]
