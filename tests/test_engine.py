@@ -608,3 +608,49 @@ def test_search_in_one_block_equals_search_by_rows_and_writes_no_candidates(spar
     many = search.search(q, docs, config).orderBy("query_id", "position").collect()
     assert "ranked" in written or name == "no views"
     assert [r.asDict() for r in one] == [r.asDict() for r in many]
+
+
+def test_candidates_by_parts_equal_those_by_rows_at_each_step(spark, monkeypatch):
+    from tessera.operators import blocks, cut, whole
+
+    config = Config(segment_max_messages=3, max_candidates=25, dense_max_candidates=9, feature_scan_limit=2**31 - 1).with_flags(vector=True, temporal_intent=True, preference_role_boost=True)
+    rng = random.Random(3)
+    words = ["Apollo", "budget", "quota", "is now", "was", "changed to", "100", "2,000", "2024-01-02", "I prefer", "red", "预算", '"green tea"']
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n)) if n else None
+    docs = docs_of(spark, [(f"u{i % 3}", rng.choice(["s", "t", None]), i // 3, rng.choice(["user", "assistant"]), said(rng.randint(0, 9)), rng.choice([None, 10**6 * i])) for i in range(90)], config)
+    q = ask(spark, *[(f"u{u}", t, k) for u in range(4) for t, k in (("what is the current Apollo budget amount", 3), ('recommend "green tea" for me', 20), ("预算 2024-01-02 now 2,000", 7))])
+    vector = lambda c: F.array(F.length(F.coalesce(c, F.lit(""))) * 1.0, F.lit(3.0)).alias("vector")
+    channels = {"query_vectors": q.select("query_id", "user_id", vector("query")), "vectors": docs.select("user_id", "doc_id", vector("content"))}
+    written, put = [], cut.materialize
+    for module in (search, fuse, score, recall, blocks):
+        monkeypatch.setattr(module, "materialize", lambda df, what: (written.append(what), put(df, what))[1])
+    monkeypatch.setattr(whole, "TOGETHER", 2)
+    prepared, docs, found = search.union(recall.prepare(q, config), docs, config, **channels)
+    found = put(found, "found")
+    full = score.full_score(search.hydrated(found, prepared, docs), config)
+    ranked = fuse.in_order(fuse.fuse(fuse.rerank_features(score.score(search.hydrated(found, prepared, docs), config)), config))
+    kept = fuse.dedup(ranked)
+    columns = ["query_id", "doc_id", "score", "flags"]
+    more = [*columns, "position", "fts_rank", "feature_rank", "dense_rank"]
+    written.clear()
+    for upto, by_rows, names in ((whole.FULL, full, columns), (whole.RANKED, ranked, more), (whole.KEPT, kept, more), (whole.FOUND, fuse.slots(kept, config), [*more, "total"])):
+        got = whole.arranged(prepared, docs, found, config, upto).select(names).orderBy("query_id", "doc_id").collect()
+        assert got and got == by_rows.select(names).orderBy("query_id", "doc_id").collect(), upto
+    assert any(r.dense_rank for r in got) and any("superseded" in r.flags for r in got)
+    written.clear()
+    assert search.search(q, docs.drop("terms", "dl"), config, **channels).count() == len(got)
+    assert not {"scored", "pool"} & set(written)  # no table of pairs with their texts
+
+
+def test_few_users_with_much_to_compare_take_several_blocks(spark, monkeypatch):
+    from tessera.operators import blocks
+
+    asked = spark.createDataFrame([(f"q{i}", f"u{i % 2}") for i in range(40)], "query_id string, user_id string")
+    held = spark.createDataFrame([(f"d{i}", f"u{i % 4}", 50) for i in range(200)], "doc_id string, user_id string, w int")
+    assert blocks.spread(asked, held, F.col("w")).users.agg(F.max(F.col("_nq") * F.col("_nd"))).first()[0] == 1
+    monkeypatch.setattr(blocks, "WORK", 10_000.0)
+    over = blocks.spread(asked, held, F.col("w"))
+    assert all(r._nq * r._nd >= 3 for r in over.users.collect()) and all(r._nd == 1 for r in blocks.spread(asked, held, F.col("w"), single=True).users.collect())
+    a, b = blocks.dealt(asked, held, over)
+    pairs = a.join(b, ["user_id", *blocks.KEY]).select("query_id", "doc_id").collect()
+    assert len(pairs) == len(set(pairs)) == 40 * 50
