@@ -654,3 +654,20 @@ def test_few_users_with_much_to_compare_take_several_blocks(spark, monkeypatch):
     a, b = blocks.dealt(asked, held, over)
     pairs = a.join(b, ["user_id", *blocks.KEY]).select("query_id", "doc_id").collect()
     assert len(pairs) == len(set(pairs)) == 40 * 50
+
+
+def test_bm25_of_a_pair_is_the_same_in_any_block():
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(40)] + ["2024", "01", "02"]
+    texts = [[rng.choice(words) for _ in range(rng.randint(0, 60))] for _ in range(300)]
+    asked = {"wanted": [rng.sample(words, 9) + ["2024 01", "01 02 2024"] for _ in range(20)], "avgdl": [30.0] * 20}
+    weight = {t: rng.random() for own in asked["wanted"] for t in own}
+    asked["idf"] = [[weight[t] for t in own] for own in asked["wanted"]]
+    held = lambda rows: {"dl": [len(t) for t in rows], "terms": [" ".join(t) for t in rows]}
+    every = recall.bm25_scores(asked, held(texts))
+    one = recall.bm25_scores({c: v[3:4] for c, v in asked.items()}, held(texts[100:117]))
+    assert (every[3, 100:117].tobytes(), every.shape) == (one[0].tobytes(), (20, 300))
+    for j, terms in enumerate(texts[:50]):
+        tf = [sum(terms[k : k + len(t.split())] == t.split() for k in range(len(terms))) for t in asked["wanted"][3]]
+        want = sum(weight[t] * recall.gain(n, len(terms), 30.0) for t, n in zip(asked["wanted"][3], tf) if n)
+        assert (want == pytest.approx(every[3, j])) if want else every[3, j] != every[3, j]
