@@ -656,6 +656,35 @@ def test_few_users_with_much_to_compare_take_several_blocks(spark, monkeypatch):
     assert len(pairs) == len(set(pairs)) == 40 * 50
 
 
+def test_bounds_of_what_can_be_among_the_best_lose_no_row_and_send_fewer(spark, monkeypatch):
+    from tessera.operators import blocks
+
+    rng = random.Random(7)
+    said = lambda n: " ".join(rng.choice(["red", "car", "cart", "2024-01-02", "预算", "x1", "Rome"]) for _ in range(n))
+    rows = [(f"u{i % 2}", "s", i, "user", "red car" if i % 3 == 0 else said(rng.randint(1, 9)), i) for i in range(400)]  # many copies: ties at the bound
+    docs = docs_of(spark, rows, Config(max_candidates=4).with_flags(views=False))
+    config = Config(max_candidates=4, dense_max_candidates=4, feature_scan_limit=2**31 - 1).with_flags(views=False)
+    prepared = recall.prepare(ask(spark, *[(f"u{i % 2}", said(3), 5) for i in range(12)]), config)
+    vectors = spark.createDataFrame([(f"d{i}", f"u{i % 2}", [float(i % 7), 1.0, float(i % 3)]) for i in range(400)], "doc_id string, user_id string, vector array<float>")
+    asked = vectors.where("doc_id like '%5'").withColumnRenamed("doc_id", "query_id")
+    messages = docs.select(F.col("doc_id").alias("id"), "user_id", F.col("doc_type").alias("view"), "content")
+    base = prepared.select("query_id", "user_id", F.lit("message").alias("view"), "query", F.lit(4).alias("top_k"))
+    channels = {"lexical": lambda: recall.lexical(prepared, docs, config), "features": lambda: recall.features(prepared, docs, config), "dense": lambda: recall.dense(asked, vectors, config), "baseline": lambda: recall.baseline_search(base, messages)}
+    rounded = lambda made: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in made().collect())
+    want = {name: rounded(made) for name, made in channels.items()}
+    assert all(want.values())
+    monkeypatch.setattr(blocks, "WEIGHT", 500)
+    monkeypatch.setattr(blocks, "SPLIT", 3)
+    left, cogrouped = [], []
+    place = blocks.placed
+    monkeypatch.setattr(blocks, "placed", lambda rows, over: cogrouped.append(rows.columns) or place(rows, over))
+    for name, made in channels.items():
+        cogrouped.clear()
+        assert rounded(made) == want[name], name
+        left.append(any("_least" in columns for columns in cogrouped))
+    assert all(left)
+
+
 def test_bm25_of_a_pair_is_the_same_in_any_block():
     rng = random.Random(8)
     words = [f"w{i}" for i in range(40)] + ["2024", "01", "02"]
