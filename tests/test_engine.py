@@ -685,6 +685,27 @@ def test_bounds_of_what_can_be_among_the_best_lose_no_row_and_send_fewer(spark,
     assert all(left)
 
 
+def test_statistics_of_terms_are_summed_before_they_are_shuffled(spark, monkeypatch):
+    config = Config().with_flags(views=False)
+    docs = index.indexed(docs_of(spark, [("u", "s", i, "user", f"common 2024-01-0{i % 3 + 1}", i) for i in range(60)], config))
+    prepared = recall.prepare(ask(spark, ("u", "common 2024-01-02", 5), ("v", "absent 1.5", 5)), config)
+    found, write = [], recall.materialize
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    for few in (10, 0):
+        monkeypatch.setattr(recall, "FEW", few)
+        plans = {}
+        monkeypatch.setattr(recall, "materialize", lambda df, name, plans=plans: plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or write(df, name))
+        found.append(sorted((r.query_id, tuple(r.wanted), tuple(round(x, 9) for x in r.idf)) for r in recall.wanted_terms(prepared, docs, config).collect()))
+        lines = plans["wanted"].splitlines()
+        joins = [(line, below) for line, below in zip(lines, lines[1:]) if "LeftSemi" in line]
+        assert len(joins) == 2  # of terms and of runs: with what is sought in every task, or of sums
+        assert all("strategy=broadcast" in line if few else "Aggregate" in below for line, below in joins)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found[0] == found[1]
+    assert {t for _, wanted, _ in found[0] for t in wanted} == {"common", "2024", "01", "02", "2024 01 02"}
+
+
 def test_bm25_of_a_pair_is_the_same_in_any_block():
     rng = random.Random(8)
     words = [f"w{i}" for i in range(40)] + ["2024", "01", "02"]
