@@ -706,6 +706,11 @@ def test_statistics_of_terms_are_summed_before_they_are_shuffled(spark, monkeypa
     assert {t for _, wanted, _ in found[0] for t in wanted} == {"common", "2024", "01", "02", "2024 01 02"}
 
 
+def test_bm25_of_queries_that_no_document_has():
+    rows = list(recall.bm25_rows({"wanted": [["a"], [], ["b"]], "idf": [[1.0], [], [2.0]], "avgdl": [1.0] * 3}, {"dl": [1, 1], "terms": ["c", "b"]}))
+    assert [(r > 0).tolist() for r in rows] == [[False, False], [False, False], [False, True]]
+
+
 def test_bm25_of_a_pair_is_the_same_in_any_block():
     rng = random.Random(8)
     words = [f"w{i}" for i in range(40)] + ["2024", "01", "02"]
@@ -721,3 +726,29 @@ def test_bm25_of_a_pair_is_the_same_in_any_block():
         tf = [sum(terms[k : k + len(t.split())] == t.split() for k in range(len(terms))) for t in asked["wanted"][3]]
         want = sum(weight[t] * recall.gain(n, len(terms), 30.0) for t, n in zip(asked["wanted"][3], tf) if n)
         assert (want == pytest.approx(every[3, j])) if want else every[3, j] != every[3, j]
+
+
+def test_hits_cost_no_cell_for_a_value_and_a_text_that_lacks_it():
+    from tessera.operators import blocks
+
+    rng = random.Random(9)
+    said = lambda n: "".join(rng.choice("ab1é. 预") for _ in range(n))
+    texts = [said(rng.randint(0, 60)) + rng.choice(["", "abcdefghijklmnop", "abcdefghijklx"]) for _ in range(80)]
+    values = list(dict.fromkeys([t[i : i + rng.randint(1, 20)] for t in texts for i in (0, 5)] + ["", "abcdefghijkl", "abcdefghijklmn", "abcdefghijklmnopq", "b"]))
+    found = blocks.hits(texts, values)
+    assert [found.places[a:b].tolist() for a, b in zip(found.starts, found.starts[1:])] == [[j for j, t in enumerate(texts) if v in t] for v in values]
+    assert found.counted([1, 1, 3]).tolist() == [2 * (values[1] in t) + (values[3] in t) for t in texts]
+    assert found.counted([]).tolist() == [0] * len(texts)
+
+
+def test_signatures_go_only_to_queries_that_ask_for_what_is_current(spark):
+    from tessera.operators import search
+
+    config = Config(feature_scan_limit=2**31 - 1).with_flags(views=False)
+    docs = docs_of(spark, [("u", "s", i, "user", f"The Rome quota was {i}" if i % 2 else f"The Rome quota is now {i}", i * 1000) for i in range(12)] + [("v", "t", i, "user", f"red car {i}", i) for i in range(5)], config)
+    prepared = recall.prepare(ask(spark, ("u", "what is the current Rome quota amount", 5), ("u", "Rome quota", 5), ("v", "red car", 5)), config)
+    rows = search.arranged(prepared, docs, config)[2].collect()
+    flags = {(r.query_id, f) for r in rows for f in r.flags}
+    assert any(f == "supersedes_earlier" for _, f in flags) and len({r.query_id for r in rows}) == 3
+    plain = search.arranged(prepared.where("not temporal"), docs, config)[2]
+    assert "cast(null as array<string>) AS sig" in plain._jdf.queryExecution().analyzed().toString() and plain.count() == 10
