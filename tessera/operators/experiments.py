@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import STAGES, Config, stage
 from tessera.functions import embed
-from tessera.operators import evaluate, index, search, views
+from tessera.operators import evaluate, index, recall, search, views, whole
 from tessera.operators.cut import materialize
 
 #: Flags and settings of the points of each scan.
@@ -17,13 +19,15 @@ SCANS: dict[str, dict[str, dict]] = {
     "supersession": {"off": {"flags": {"supersession": False, "supersession_update_guard": False}}, "unguarded": {"flags": {"supersession": True, "supersession_update_guard": False}}}
     | {f"guarded={w:g}/{p:g}": {"supersession_weight": w, "supersession_penalty": p, "flags": {"supersession": True, "supersession_update_guard": True}} for w, p in ((4.0, 1.0), (6.0, 2.0), (8.0, 2.0), (10.0, 3.0), (12.0, 4.0), (14.0, 4.0), (18.0, 6.0))},
 }
+#: Flags that recall depends on.
+RECALLED = ("views", "use_options", "exact_scan", "vector", "semantic_rerank", "pair_rerank")
 
 
 class Corpus:
-    """A corpus of messages whose index is built once for each setting of views, and read by all searches."""
+    """A corpus of messages whose index is built once for each setting of views, and searched once for each setting of recall."""
 
     def __init__(self, messages: DataFrame):
-        self.messages, self.made = messages, {}
+        self.messages, self.made, self.found = messages, {}, []
 
     def index(self, config: Config) -> tuple[DataFrame, index.Stored]:
         key = (config.on("views"), config.window_size, config.window_overlap, config.segment_max_messages, config.segment_max_gap_seconds)
@@ -34,13 +38,28 @@ class Corpus:
             self.made[key] = docs, index.Stored(terms, posts, materialize(index.term_stats(posts), "term-stats"), materialize(index.corpus_stats(terms), "corpus-stats"))
         return self.made[key]
 
-    def search(self, queries: DataFrame, config: Config, backend=None) -> DataFrame:
+    def recalled(self, queries: DataFrame, config: Config, backend=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Prepared queries, documents and the union of the channels, found once and written for all settings that recall the same: what is scored and fused from it differs, not what is recalled."""
+        flags = tuple(config.on(f) for f in RECALLED)
+        key = (queries, backend, flags, tuple(getattr(config, f.name) for f in fields(config) if f.name != "flags"))
+        for known, made in self.found:
+            if all(a is b for a, b in zip(known[:2], key[:2])) and known[2:] == key[2:]:
+                return made
         docs, stored = self.index(config)
         channels = {}
         if config.on("vector") and backend is not None:
             vector = lambda c: embed.embed(F.col(c), backend).alias("vector")
             channels = {"query_vectors": queries.select("query_id", "user_id", vector("query")), "vectors": docs.select("user_id", "doc_id", vector("content"))}
-        return search.search(queries, docs, config, stored=stored, **channels)
+        prepared, docs, found = search.union(recall.prepare(queries, config), docs, config, stored=stored, **channels)
+        self.found.append((key, (prepared, docs, materialize(found, "ranked"))))
+        return self.found[-1][1]
+
+    def search(self, queries: DataFrame, config: Config, backend=None) -> DataFrame:
+        """query_id, doc_id, position and source_ids of what search.search returns."""
+        config = config.validate()
+        prepared, docs, found = self.recalled(queries, config, backend)
+        rows = whole.arranged(prepared, docs, found, config).select("query_id", "doc_id", "position")
+        return rows.join(docs.select("doc_id", "source_ids"), "doc_id")
 
 
 def run(messages: DataFrame, queries: DataFrame, points: dict[str, Config], ks: tuple[int, ...] = (20, 100), backend=None) -> DataFrame:

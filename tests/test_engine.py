@@ -752,3 +752,19 @@ def test_signatures_go_only_to_queries_that_ask_for_what_is_current(spark):
     assert any(f == "supersedes_earlier" for _, f in flags) and len({r.query_id for r in rows}) == 3
     plain = search.arranged(prepared.where("not temporal"), docs, config)[2]
     assert "cast(null as array<string>) AS sig" in plain._jdf.queryExecution().analyzed().toString() and plain.count() == 10
+
+
+def test_stages_that_recall_the_same_share_it_and_find_what_a_search_finds(spark):
+    from tessera.config import stage
+    from tessera.operators import experiments, search
+
+    rows = [("u", "s", i, "user", f"The Rome quota was {i}" if i % 3 else f"The Rome quota is now {i}", i * 1000) for i in range(9)]
+    docs = docs_of(spark, rows, Config())
+    messages = docs.where("doc_type = 'message'").select(F.col("doc_id").alias("id"), "user_id", "session_id", "seq", "role", "content", "ts_ms")
+    queries = ask(spark, ("u", "what is the current Rome quota amount", 5), ("u", "Rome 4", 5))
+    corpus = experiments.Corpus(messages)
+    for name in ("L3", "L9"):
+        made = {(r.query_id, r.position, r.doc_id, tuple(r.source_ids)) for r in corpus.search(queries, stage(name)).collect()}
+        want = {(r.query_id, r.position, r.doc_id, tuple(r.source_ids)) for r in search.search(queries, docs, stage(name)).collect()}
+        assert made == want and len(made) == 10, name
+    assert len(corpus.found) == 1
